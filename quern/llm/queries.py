@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import decontaminate
+from .html_text import extract
 from .mixing import mix_sources, number_domain
 from .near_dedup import near_duplicates
 from .sharding import shard
@@ -106,7 +108,8 @@ OP4_SQL = rf"""
 WITH t AS (
   SELECT doc_id, lang, source, coalesce(lang, '(none)') AS l, coalesce(source, '(none)') AS s,
     coalesce('domain' || (TRY_CAST(nullif(regexp_extract(source, '([0-9]{{1,9}})', 1), '') AS INT) % 4), '(none)') AS d,
-    coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS n FROM documents
+    coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::BIGINT AS n FROM documents
 ), leaf AS (
   SELECT d, l, s, sum(n) AS tokens, sum(n) * 2 AS capacity FROM t GROUP BY ALL
 ), total AS (
@@ -130,11 +133,23 @@ SELECT doc_id, d AS domain, lang, source, n AS n_tokens, CAST(unnest(range(CAST(
 """
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    best = F.aggregate("found", F.lit(0.0), lambda acc, x: F.greatest(acc, x["coverage"]))
+    return judged.select("doc_id", "contaminated", F.transform("found", lambda x: x["item_id"]).alias("item_ids"), F.round(best, 6).alias("coverage"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
         "op2_substring_dedup": op2_substring_dedup,
         "op4_source_mixing": op4_source_mixing,
+        "op6_html_main_text": op6_html_main_text,
+        "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
