@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from .near_dedup import slices
 from .tokens import LOWER, Tokens, hash_slices, join_hash, mix, rolling, tokenize
@@ -177,7 +178,7 @@ def align(doc: np.ndarray, pos: np.ndarray, item: np.ndarray, at: np.ndarray, si
     return [(d, i, share, changed) for (d, i), (share, changed) in best.items()]
 
 
-FOUND = "array<struct<item_id:long,coverage:double,changed:boolean>>"
+FOUND = ArrayType(StructType().add("item_id", "long").add("coverage", "double").add("changed", "boolean"))
 FOUND_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("changed", pa.bool_())]))
 
 
@@ -226,7 +227,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     source = docs.select(*kept)
     if words // 2 <= most_broadcast:
         held = spark.sparkContext.broadcast(bench.toArrow())
-        schema = source.schema.add("found", FOUND)
+        schema = StructType([*source.schema.fields, StructField("found", FOUND)])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = index_items(held.value, window, least_literal)

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # --- fixed values: HTML element names ---
 BLOCKS = frozenset(
@@ -202,7 +203,7 @@ def main_text(page: str | None, window: int = 3, threshold: int = 86) -> str:
 def extract(pages: DataFrame, html_col: str = "html", window: int = 3, threshold: int = 86) -> DataFrame:
     """``pages`` with ``text`` (its main text) in place of the html; other columns pass through."""
     kept = [c for c in pages.columns if c not in (html_col, "text")]
-    schema = pages.select(*kept).schema.add("text", "string")
+    schema = StructType([*pages.select(*kept).schema.fields, StructField("text", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
