@@ -11,6 +11,7 @@ from .decontaminate import decontaminate
 from .html_text import extract
 from .mixing import mix_sources, number_domain
 from .near_dedup import near_duplicates
+from .quality import classify, train
 from .sharding import shard
 from .substring_dedup import remove_repeats
 
@@ -143,10 +144,21 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return judged.select("doc_id", "contaminated", F.transform("found", lambda x: x["item_id"]).alias("item_ids"), F.round(best, 6).alias("coverage"))
 
 
+def bad_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Given labels: bad is low quality or toxic."""
+    return table(spark, sf_dir, "labels").select("doc_id", ((F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)).alias("bad"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, train(docs, bad_labels(spark, sf_dir))).select("doc_id", F.round("weak_bad", 6).alias("weak_bad"), F.round("score", 6).alias("score"), "accepted")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_source_mixing": op4_source_mixing,
         "op6_html_main_text": op6_html_main_text,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
