@@ -13,6 +13,7 @@ from .mixing import mix_sources, number_domain
 from .near_dedup import near_duplicates
 from .quality import classify, train
 from .sharding import shard
+from .spotsigs import fingerprints
 from .substring_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,6 +155,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, train(docs, bad_labels(spark, sf_dir))).select("doc_id", F.round("weak_bad", 6).alias("weak_bad"), F.round("score", 6).alias("score"), "accepted")
 
 
+def op8_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
@@ -161,6 +166,7 @@ def queries() -> dict[str, Query]:
         "op3_quality_classifier": op3_quality_classifier,
         "op4_source_mixing": op4_source_mixing,
         "op6_html_main_text": op6_html_main_text,
+        "op8_spotsigs_fingerprints": op8_spotsigs_fingerprints,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
