@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
@@ -12,6 +12,8 @@ from .html_text import extract
 from .mixing import mix_sources, number_domain
 from .near_dedup import near_duplicates
 from .quality import classify, train
+from .secret_scan import scan
+from .secret_scan import train as train_field
 from .sharding import shard
 from .spotsigs import fingerprints
 from .substring_dedup import remove_repeats
@@ -159,6 +161,20 @@ def op8_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan(docs, train_field(docs))
+    base = F.filter("spans", lambda x: x["kind"] != "field")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
@@ -166,6 +182,7 @@ def queries() -> dict[str, Query]:
         "op3_quality_classifier": op3_quality_classifier,
         "op4_source_mixing": op4_source_mixing,
         "op6_html_main_text": op6_html_main_text,
+        "op7_secret_scan": op7_secret_scan,
         "op8_spotsigs_fingerprints": op8_spotsigs_fingerprints,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
