@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .html_text import extract
+from .lm_score import score_texts
 from .mixing import mix_sources, number_domain
 from .near_dedup import near_duplicates
 from .quality import classify, train
@@ -175,12 +176,17 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_source_mixing": op4_source_mixing,
+        "op5_lm_score": op5_lm_score,
         "op6_html_main_text": op6_html_main_text,
         "op7_secret_scan": op7_secret_scan,
         "op8_spotsigs_fingerprints": op8_spotsigs_fingerprints,
