@@ -5,13 +5,437 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.config import Config
+from quern.functions import text as tx
+from quern.operators import answers, chunking, geometry, maintenance, measurements, metrics, retrieval
+from quern.plans import oracle
+from quern.sources import corpora
 
 Query = Callable[[SparkSession, str], DataFrame]
+WEIGHTS = [i / 10 for i in range(11)]
+KS = [10, 60, 100]
+THRESHOLDS = [0.25, 0.30, 0.35, 0.37, 0.40, 0.45, 0.50]
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item is a query."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _sparse(spark: SparkSession, d: str, k: int = 8, queries: DataFrame | None = None) -> DataFrame:
+    docs = _docs(spark, d)
+    return retrieval.bm25_topk(queries if queries is not None else _queries(spark, d), retrieval.postings(docs), docs.count(), k)
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+
+
+def _dense(spark: SparkSession, d: str, k: int = 8, shift: int = 0) -> DataFrame:
+    """A query's vector is that with its number (declared pairing; so is a document's)."""
+    vectors = _vectors(spark, d)
+    asked = _queries(spark, d).join(vectors, F.col("vec_id") == F.col("query_id") + shift).select("query_id", "vector")
+    return retrieval.dense_topk(asked, vectors, k).withColumnRenamed("vec_id", "doc_id")
+
+
+def _every_50th(spark: SparkSession, d: str) -> DataFrame:
+    return _vectors(spark, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+
+
+def _qrels(spark: SparkSession, d: str) -> DataFrame:
+    """Grade 2: the document holds the item's first 80 characters; 1: its first 24."""
+    items = retrieval.small(_queries(spark, d).where("length(text) > 0").withColumnRenamed("text", "item"))
+    met = _docs(spark, d).join(items, F.contains(F.col("text"), F.substring("item", 1, 24)))
+    return met.select("query_id", "doc_id", F.when(F.contains(F.col("text"), F.substring("item", 1, 80)), 2).otherwise(1).alias("rel"))
+
+
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    """Cases: relevant documents are those of grade 2, named with a version; the tag is the language of the first of them."""
+    docs = _docs(spark, d).select("doc_id", "lang")
+    found = _qrels(spark, d).where("rel = 2").join(docs, "doc_id")
+    per = found.groupBy("query_id").agg(F.min_by("lang", "doc_id").alias("tag"), F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: F.concat(x.cast("string"), F.lit("v1"))).alias("relevant"))
+    return per
+
+
+def _hits(ranked: DataFrame) -> DataFrame:
+    return ranked.select("query_id", "rank", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("v2")).alias("source"))
+
+
+def _r(c: str, places: int = 6):
+    return F.round(c, places).alias(c)
+
+
+# --- queries, in the order of the inventory ---
+def doc_tokens_stats(s, d):
+    t = tx.tokens(F.col("text"))
+    return _docs(s, d).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_terms"))
+
+
+def bm25_term_stats(s, d):
+    docs = _docs(s, d)
+    return retrieval.term_stats(retrieval.postings(docs), docs.count()).select("term", "df", _r("idf"))
+
+
+def bm25_topk(s, d):
+    return _sparse(s, d).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", _r("score"))
+
+
+def bm25_known_item(s, d):
+    """Recall of each document by the first 60 % of its own first 12 tokens, for every document whose id is divisible by 50."""
+    docs = _docs(s, d)
+    head = F.slice(tx.tokens(F.col("text")), 1, 12)
+    cut = F.greatest(F.lit(3), F.floor(F.size(head) * 0.6)).cast("int")
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(head, F.lit(1), cut), " ").alias("text"))
+    best = _sparse(s, d, 5, asked)
+    place = best.where("query_id = doc_id").select("query_id", "rank")
+    return asked.select("query_id").join(place, "query_id", "left").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg(F.when(F.col("rank") <= 1, 1.0).otherwise(0.0)), 6).alias("recall_1"), F.round(F.avg(F.when(F.col("rank") <= 5, 1.0).otherwise(0.0)), 6).alias("recall_5"))
+
+
+def dense_topk(s, d):
+    return retrieval.dense_topk(_every_50th(s, d), _vectors(s, d)).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", _r("score"))
+
+
+def dense_relevance_gate(s, d):
+    others = _vectors(s, d)
+    asked = _every_50th(s, d)
+    best = retrieval.dense_topk(asked, others, 2).where("vec_id <> query_id")
+    return retrieval.gate(retrieval.relevance(best, asked)).select("query_id", _r("relevance"), "below_gate")
+
+
+def hybrid_rrf(s, d):
+    out = retrieval.hybrid_rrf(_dense(s, d), _sparse(s, d))
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.col("dense_rank").cast("long").alias("dense_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"), _r("score"), "rrf_score", _r("relevance"))
+
+
+def hybrid_rrf_k_sweep(s, d):
+    return retrieval.rrf_k_sweep(_dense(s, d), _sparse(s, d), KS).select(F.col("rrf_k").cast("long").alias("rrf_k"), "query_id", F.col("rank").cast("long").alias("rank"), "doc_id")
+
+
+def weighted_rrf(s, d):
+    return retrieval.weighted_rrf(_dense(s, d), _sparse(s, d), WEIGHTS).select("weight", "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("rrf", 9).alias("rrf"))
+
+
+def weighted_rrf_sweep_ndcg(s, d):
+    runs = retrieval.weighted_rrf(_dense(s, d, 100), _sparse(s, d, 100), WEIGHTS)
+    scored = metrics.graded_metrics(_qrels(s, d), runs, ["weight"])
+    return scored.select("weight", _r("ndcg"))
+
+
+def best_fusion_weight(s, d):
+    runs = retrieval.weighted_rrf(_dense(s, d, 100), _sparse(s, d, 100), WEIGHTS)
+    return metrics.best_weight(metrics.graded_metrics(_qrels(s, d), runs, ["weight"])).select("weight", _r("ndcg"), _r("gain"), "meaningful")
+
+
+def _variants(s, d):
+    q = _queries(s, d)
+    half = F.ceil(F.size(tx.words(F.col("text"))) / 2).cast("int")
+    v = q.select("query_id", F.posexplode(F.array(F.array_join(F.slice(tx.words(F.col("text")), F.lit(1), half), " "), F.lower("text"))).alias("pos", "text"))
+    return retrieval.expand_queries(q, v)
+
+
+def expanded_queries(s, d):
+    return _variants(s, d).select("query_id", F.col("variant").cast("long").alias("variant"), "text")
+
+
+def multi_variant_rrf(s, d):
+    v = _variants(s, d)
+    keyed = v.select((F.col("query_id") * 10 + F.col("variant")).alias("query_id"), "text")
+    sparse = _sparse(s, d, 8, keyed).select(F.expr("query_id div 10").alias("query_id"), (F.col("query_id") % 10).cast("int").alias("variant"), F.lit("bm25").alias("arm"), "rank", "doc_id", "score")
+    dense = [_dense(s, d, 8, 100 * n).select("query_id", F.lit(n).alias("variant"), F.lit("dense").alias("arm"), "rank", "doc_id", "score") for n in (0, 1)]
+    out = retrieval.multi_variant_rrf(sparse.unionByName(dense[0]).unionByName(dense[1]))
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("rrf", 9).alias("rrf"), F.col("dense_rank").cast("long").alias("dense_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"), _r("dense_score"), _r("bm25_score"), "n_variants")
+
+
+def reranked(s, d):
+    """Fused hits in the order of an outside score: the document's number of characters over 1000."""
+    fused = retrieval.hybrid_rrf(_dense(s, d), _sparse(s, d), Config(rerank=True))
+    outside = fused.select("query_id", "doc_id").join(_docs(s, d).select("doc_id", (F.col("n_chars") / 1000.0).alias("rerank_score")), "doc_id")
+    return retrieval.rerank(fused, outside).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "rerank_score", F.col("fusion_rank").cast("long").alias("fusion_rank"))
+
+
+def figure_search(s, d):
+    """Hits that belong to a subset of documents (those in Spanish stand for figures), filtered before the cut."""
+    return retrieval.only_kind(_sparse(s, d, 100), _docs(s, d).where("lang = 'es'").select("doc_id"), 3).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id")
+
+
+def _ranks(s, d):
+    return metrics.first_ranks(_cases(s, d), _hits(_sparse(s, d)))
+
+
+def paper_vs_chunk_mrr(s, d):
+    hits = _hits(_sparse(s, d)).join(_docs(s, d).select("doc_id", F.col("source").alias("paper")), "doc_id")
+    cases = _cases(s, d).withColumn("relevant", F.transform("relevant", lambda x: tx.base_id(x)))
+    papers = _docs(s, d).select(F.col("doc_id").cast("string").alias("r"), F.col("source").alias("paper"))
+    want = cases.select("query_id", "tag", F.explode("relevant").alias("r")).join(papers, "r").groupBy("query_id", "tag").agg(F.collect_set("paper").alias("relevant"))
+    ranks = metrics.first_ranks(want, hits, F.col("paper"))
+    return ranks.select("query_id", F.col("chunk_rank").cast("long").alias("chunk_rank"), F.col("paper_rank").cast("long").alias("paper_rank"))
+
+
+def recall_mrr_by_tag(s, d):
+    return metrics.recall_mrr(_ranks(s, d)).select("tag", "n", "hits", _r("recall"), _r("mrr"), _r("paper_recall"), _r("paper_mrr"))
+
+
+def _modes(s, d):
+    dense, sparse = _dense(s, d), _sparse(s, d)
+    arms = {"dense": dense, "bm25": sparse, "hybrid": retrieval.hybrid_rrf(dense, sparse)}
+    out = None
+    for name, run in arms.items():
+        part = metrics.first_ranks(_cases(s, d), _hits(run)).withColumn("mode", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def ablation_pivot(s, d):
+    return metrics.ablation(_modes(s, d), ["de", "en", "es", "fr"])
+
+
+def ndcg_map_recall(s, d):
+    out = metrics.graded_metrics(_qrels(s, d), _sparse(s, d, 100))
+    return out.select("queries", _r("ndcg"), _r("recall"), _r("map"), metrics.verdict(F.round("ndcg", 6), F.lit(0.665)).alias("verdict"))
+
+
+def judged_queries(s, d):
+    return metrics.judged_only(_queries(s, d), _qrels(s, d)).select("query_id")
+
+
+def _gated(s, d):
+    """Cases are positive where some document holds the item."""
+    best = retrieval.dense_topk(_queries(s, d).join(_vectors(s, d), F.col("vec_id") == F.col("query_id")).select("query_id", "vector"), _vectors(s, d), 2).where("vec_id <> query_id")
+    yes = _qrels(s, d).where("rel = 2").select("query_id").distinct().withColumn("positive", F.lit(True))
+    return retrieval.relevance(best, _queries(s, d)).join(yes, "query_id", "left").withColumn("positive", F.coalesce("positive", F.lit(False))).withColumn("relevance", F.round("relevance", 6))
+
+
+def gate_threshold_sweep(s, d):
+    return metrics.gate_sweep(_gated(s, d), THRESHOLDS)
+
+
+def gate_separation(s, d):
+    return metrics.separation(_gated(s, d)).select(*[_r(c) for c in ("least_positive", "most_negative", "separation")])
+
+
+def gate_extremes(s, d):
+    return metrics.extremes(_gated(s, d)).select("query_id", "positive", "relevance", F.col("place").cast("long").alias("place"))
+
+
+def chunk_windows(s, d):
+    parts = _docs(s, d).select("doc_id", F.lit(0).alias("seg_no"), F.lit("body").alias("section"), "text").where("text IS NOT NULL")
+    c = chunking.chunk(parts)
+    return c.select("doc_id", "chunk_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("text").alias("text_md5"))
+
+
+def section_segments(s, d):
+    rows = chunking.html_lines(table(s, d, "pages"))
+    return chunking.islands(rows, F.col("head"), "line_no").select("doc_id", F.col("seg_no").cast("long").alias("seg_no"), "section", F.md5("text").alias("text_md5"))
+
+
+def noise_filter(s, d):
+    """Documents under section names made from their ids."""
+    names = F.element_at(F.array(*[F.lit(x) for x in ("References", "24\nREFERENCES", "Method", "Acknowledgements", "A Bibliography of", "Results")]), (F.pmod("doc_id", F.lit(6)) + 1).cast("int"))
+    return chunking.drop_noise(_docs(s, d).withColumn("section", names)).select("doc_id", "section")
+
+
+def body_sizes(s, d):
+    """The size that most characters of a document have, where a line's size is made from its words."""
+    lines = _docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).withColumn("size", (F.pmod(F.length("text"), F.lit(3)) + 9).cast("double"))
+    return chunking.body_size(lines)
+
+
+def idempotent_append(s, d):
+    docs = _docs(s, d).withColumn("section", F.col("lang"))
+    stored = docs.where("doc_id % 3 <> 0")
+    grown = maintenance.append(stored, docs.unionByName(docs), "doc_id", "section", "source")
+    return grown.select("doc_id", "lang", "n_chars")
+
+
+def todo_anti_join(s, d):
+    return maintenance.todo(_docs(s, d), table(s, d, "labels"), "doc_id").select("doc_id")
+
+
+def prune_plan(s, d):
+    files = _docs(s, d).select("doc_id", F.col("n_chars").alias("bytes"))
+    labels = table(s, d, "labels")
+    return maintenance.prune_plan(files, labels.select("doc_id").distinct(), labels.where("quality = 1").select("doc_id").distinct())
+
+
+def figure_reindex(s, d):
+    """Documents in Spanish stand for figures of their source."""
+    docs = _docs(s, d).select("doc_id", "source")
+    es = _docs(s, d).where("lang = 'es'").select("doc_id", "source")
+    return maintenance.reindex_figures(docs, es.withColumn("source", F.when(F.pmod("doc_id", F.lit(2)) == 0, F.col("source")).otherwise("none")), "doc_id", "source")
+
+
+def augmented_corpora(s, d):
+    docs = _docs(s, d)
+    both = maintenance.augmented(docs.where("lang <> 'es'"), docs.where("lang = 'es'"))
+    return both.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("n_chars").alias("chars"))
+
+
+def index_health(s, d):
+    return answers.index_health(_docs(s, d))
+
+
+def corpus_fingerprint(s, d):
+    return answers.fingerprint(_docs(s, d), "doc_id").select("chunks", "digest")
+
+
+def list_sources_first_title(s, d):
+    return answers.list_sources(_docs(s, d).withColumn("title", F.substring("text", 1, 40)), "source", "title", "doc_id")
+
+
+def context_block(s, d):
+    hits = _sparse(s, d, 5).join(_docs(s, d).select("doc_id", F.col("source").alias("title"), F.lit("2024").alias("published"), F.col("lang").alias("section"), F.concat(F.lit("as [6, 14] say "), F.substring("text", 1, 300)).alias("text")), "doc_id")
+    return answers.context_block(hits).select("query_id", F.md5("context").alias("context_md5"), F.length("context").cast("long").alias("n_chars"))
+
+
+def citation_check(s, d):
+    said = _docs(s, d).select(F.col("doc_id").alias("query_id"), F.concat(F.lit("See ["), F.pmod("doc_id", F.lit(9)).cast("string"), F.lit("] and [2][99] but not ["), F.pmod("n_chars", F.lit(30)).cast("string"), F.lit("].")).alias("answer"), F.pmod("doc_id", F.lit(6)).alias("n_hits"))
+    return answers.check_answers(said).select("query_id", F.array_join(F.transform("cited", lambda x: x.cast("string")), ",").alias("cited"), "grounded")
+
+
+def strip_cites(s, d):
+    return _docs(s, d).select("doc_id", F.md5(tx.strip_cites(F.concat(F.lit("POPE [17] and refs [6, 14, 17, 28] "), F.col("text"), F.lit(" [x] [1,2] [3 , 4]")))).alias("text_md5"))
+
+
+def token_dilution(s, d):
+    pairs = _docs(s, d).select("doc_id", F.substring("text", 1, 100).alias("caption"), F.substring("text", 101, 1 << 30).alias("description"))
+    return metrics.dilution(pairs).select(*[_r(c) for c in ("caption_tokens", "description_tokens", "caption_share", "rare_caption", "rare_both")])
+
+
+def _answered(s, d):
+    cases = _queries(s, d).select("query_id", F.array(F.substring("text", 1, 30), F.lit("no such anchor")).alias("answer_anchors"))
+    hits = _sparse(s, d, 5).join(_docs(s, d).select("doc_id", F.when(F.col("lang") == "en", "Table 1").otherwise("body").alias("section"), "text"), "doc_id")
+    return metrics.answerability(cases, hits)
+
+
+def answerability(s, d):
+    return _answered(s, d).select("query_id", "answerable", F.col("table_rank").cast("long").alias("table_rank"))
+
+
+def failure_diagnosis(s, d):
+    ranks = _ranks(s, d).select("query_id", "chunk_rank")
+    return metrics.diagnose(_answered(s, d).join(ranks, "query_id", "left")).groupBy("diagnosis").agg(F.count(F.lit(1)).alias("cases"))
+
+
+def figure_displacement(s, d):
+    return metrics.displacement(_sparse(s, d, 5), _docs(s, d).where("lang = 'es'").select("doc_id")).select(_r("share"))
+
+
+def metric_deltas(s, d):
+    base = metrics.recall_mrr(metrics.first_ranks(_cases(s, d), _hits(_dense(s, d))))
+    return metrics.deltas(base, metrics.recall_mrr(_ranks(s, d))).select("tag", _r("recall_delta"), _r("mrr_delta"))
+
+
+def candidate_audit(s, d):
+    cases = _cases(s, d).withColumn("relevant", F.transform("relevant", lambda x: tx.base_id(x)))
+    return metrics.audit(cases, _hits(_sparse(s, d))).select("query_id", F.col("place").cast("long").alias("place"), "verdict")
+
+
+def corpus_overlap_substring(s, d):
+    paras = _docs(s, d).select(F.col("lang").alias("paper_id"), "doc_id", "text").where("length(text) >= 40")
+    evidence = _queries(s, d).select(F.lit("en").alias("paper_id"), "query_id", F.col("text").alias("evidence"))
+    return corpora.evidence_qrels(paras, retrieval.small(evidence)).select("query_id", "doc_id", F.col("rel").cast("long").alias("rel"))
+
+
+def longest_per_group(s, d):
+    return metrics.longest(_docs(s, d), "source", "text", "doc_id").select("source", F.md5("text").alias("text_md5"))
+
+
+def latency_percentiles(s, d):
+    v = table(s, d, "events")
+    return metrics.nearest_rank(v, "value", 0.5).withColumn("share", F.lit(0.5)).unionByName(metrics.nearest_rank(v, "value", 0.95).withColumn("share", F.lit(0.95)))
+
+
+def interval_merge(s, d):
+    """Stretches of a user's events, each lasting its value in seconds, no more than 12 seconds apart."""
+    e = table(s, d, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("x0"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + F.col("value")).alias("x1")).where("x1 IS NOT NULL")
+    out = geometry.merged_intervals(e, ["user_id"])
+    return out.select("user_id", F.col("island").cast("long").alias("island"), _r("lo", 3), _r("hi", 3))
+
+
+def lsh_topk(s, d):
+    return retrieval.dense_topk_lsh(_every_50th(s, d), _vectors(s, d)).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", _r("score"))
+
+
+def stemmed_bm25(s, d):
+    docs = _docs(s, d)
+    return retrieval.bm25_topk(_queries(s, d), retrieval.postings(docs, stemmed=True), docs.count(), stemmed=True).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", _r("score"))
+
+
+def nfkd_clean(s, d):
+    return _docs(s, d).select("doc_id", F.md5(tx.clean(F.col("text"))).alias("text_md5"))
+
+
+def rejoined_lines(s, d):
+    return _docs(s, d).select("doc_id", F.md5(tx.rejoin_lines(F.concat(F.lit("frac-\ntion of\nthe\nThing\n\n\n\nEnd\n"), F.col("text")))).alias("text_md5"))
+
+
+# --- small inline inputs ---
+TABLES = [
+    ("f1", "2401.1v2", "Table 1:  scores", "| Method | Acc | F1 |\n|---|---|---|\n| **Net A** (ours) | 71.2% | 0.5 |\n| Average | 1 | 2 |\n| Net-B | 1,204 | 3/4 |\n| 12 | 5 | 6 |\n| Net C | 140% | - | 7 |"),
+    ("f2", "2402.7v1", None, "| Model | Acc |\n| --- | --- |\n| net a | 70 |\n|  | 1 |\n| Net C | n/a |"),
+    ("f3", "2403.9", "no table", "just text"),
+]
+TABLES_SCHEMA = "figure_id string, arxiv_id string, caption string, markdown string"
+
+
+def measurement_facts(s, d):
+    return measurements.measurements(s.createDataFrame(TABLES, TABLES_SCHEMA))
+
+
+def measurement_drops(s, d):
+    return measurements.drop_reasons(s.createDataFrame(TABLES, TABLES_SCHEMA))
+
+
+def joinable_methods(s, d):
+    return measurements.joinable(measurements.measurements(s.createDataFrame(TABLES, TABLES_SCHEMA)))
+
+
+BLOCK = "doc_id string, page int, block_no int, x0 double, y0 double, x1 double, y1 double, text string"
+PROSE = "This is a body sentence, with enough words to count as prose here."
+BLOCKS = [
+    ("p", 1, 0, 50.0, 50.0, 280.0, 100.0, PROSE),
+    ("p", 1, 1, 320.0, 50.0, 550.0, 180.0, PROSE),
+    ("p", 1, 2, 100.0, 150.0, 140.0, 160.0, "axis label"),
+    ("p", 1, 3, 50.0, 300.0, 280.0, 330.0, "Figure 1: the accuracy of all the systems"),
+    ("p", 1, 4, 50.0, 400.0, 280.0, 450.0, PROSE),
+]
+BOXES = [("p", 1, 0.0, 0.0, 600.0, 800.0)]
+BOX = "doc_id string, page int, px0 double, py0 double, px1 double, py1 double"
+
+
+def band_overlap(s, d):
+    blocks, box = s.createDataFrame(BLOCKS, BLOCK), s.createDataFrame(BOXES, BOX)
+    caps = geometry.captions(blocks)
+    return geometry.ceilings(caps, blocks, box).join(geometry.floors(caps, blocks, box), "figure_id").join(geometry.column_spans(caps, blocks, box), "figure_id")
+
+
+def section_pattern(s, d):
+    texts = [("a", "front matter\nAbstract\nshort text\n1. Introduction\nsome words, 12 more."), ("b", "nothing here")]
+    out = chunking.segments_by_pattern(s.createDataFrame(texts, "doc_id string, text string"))
+    return out.select("doc_id", "section", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    named = [
+        doc_tokens_stats, bm25_term_stats, bm25_topk, bm25_known_item, dense_topk, dense_relevance_gate, hybrid_rrf, hybrid_rrf_k_sweep, weighted_rrf, weighted_rrf_sweep_ndcg, best_fusion_weight,
+        expanded_queries, multi_variant_rrf, reranked, figure_search, paper_vs_chunk_mrr, recall_mrr_by_tag, ablation_pivot, ndcg_map_recall, judged_queries, gate_threshold_sweep, gate_separation,
+        gate_extremes, chunk_windows, section_segments, noise_filter, body_sizes, idempotent_append, todo_anti_join, prune_plan, figure_reindex, augmented_corpora, index_health, corpus_fingerprint,
+        list_sources_first_title, context_block, citation_check, strip_cites, token_dilution, answerability, failure_diagnosis, figure_displacement, metric_deltas, candidate_audit,
+        corpus_overlap_substring, longest_per_group, latency_percentiles, interval_merge, lsh_topk, stemmed_bm25, nfkd_clean, rejoined_lines, measurement_facts, measurement_drops, joinable_methods,
+        band_overlap, section_pattern,
+    ]
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
