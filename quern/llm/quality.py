@@ -127,7 +127,10 @@ def features(col: pa.Array | pa.ChunkedArray) -> Features:
         fr.append(doc[sel])
         fh.append(hash_slices(low, s[sel], s[sel] + k, k + 1) if k else hash_slices(low, s, e, 0))
     row, h = np.concatenate(fr), np.concatenate(fh)
-    return Features(stats, n, row, h)
+    o = np.argsort((row.astype(U) << U(40)) | (h >> U(24)))
+    row, h = row[o], h[o]
+    once = np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])]) if len(row) else np.zeros(0, bool)
+    return Features(stats, n, row[once], h[once])
 
 
 #: Shares from which each statistic speaks of a bad document, and below which of a good one.
@@ -152,14 +155,20 @@ def votes(f: Features, lexicon: np.ndarray, marked: np.ndarray | None = None) ->
     return v
 
 
-def learn_lexicon(f: Features, bad: np.ndarray, least: int = 5, odds: float = 25.0, alone: float = 0.002) -> np.ndarray:
-    """Hashes of word beginnings in ``least`` bad documents or more and ``odds`` times as common there."""
-    nb, ng = max(1, int(bad.sum())), max(1, int((~bad).sum()))
-    pair = np.unique(np.stack([f.hash, f.row.astype(U)], 1), axis=0) if len(f.hash) else np.zeros((0, 2), U)
-    keys, inv = np.unique(pair[:, 0], return_inverse=True)
-    in_bad = np.bincount(inv, weights=bad[pair[:, 1].astype(np.int64)], minlength=len(keys))
-    in_good = np.bincount(inv, minlength=len(keys)) - in_bad
-    return keys[(in_bad >= least) & (in_bad / nb >= odds * (in_good + 0.5) / ng) & (in_good / ng <= alone)]
+def learn_lexicon(parts: Iterator[tuple[Features, np.ndarray]], least: int = 5, odds: float = 25.0, alone: float = 0.002) -> np.ndarray:
+    """Hashes of word beginnings in ``least`` bad documents or more and ``odds`` times as common there; of (features, bad) for one part of the sample after another."""
+    keys, counts, nb, ng = np.zeros(0, U), np.zeros((0, 2)), 0, 0
+    for f, bad in parts:
+        own, inv = np.unique(np.concatenate([keys, f.hash]), return_inverse=True)
+        sums = np.zeros((len(own), 2))
+        sums[inv[: len(keys)]] = counts
+        in_bad = bad[f.row]
+        sums[:, 1] += np.bincount(inv[len(keys) :], weights=in_bad, minlength=len(own))
+        sums[:, 0] += np.bincount(inv[len(keys) :], weights=~in_bad, minlength=len(own))
+        keys, counts = own, sums
+        nb, ng = nb + int(bad.sum()), ng + int((~bad).sum())
+    nb, ng = max(1, nb), max(1, ng)
+    return keys[(counts[:, 1] >= least) & (counts[:, 1] / nb >= odds * (counts[:, 0] + 0.5) / ng) & (counts[:, 0] / ng <= alone)]
 
 
 @dataclass
@@ -216,8 +225,6 @@ class Scorer:
 
 def fit_scorer(row: np.ndarray, col: np.ndarray, good: np.ndarray, bits: int, steps: int = 200, rate: float = 0.3, l2: float = 1e-3, least: int = 10, screen: float = 8.0) -> Scorer:
     """Logistic regression with adaptive steps on soft labels; features in fewer than ``least`` rows, or whose share differs between the classes by less than ``screen`` standard errors, stay 0."""
-    pair = np.unique(row.astype(np.int64) * (1 << 24) + col)
-    row, col = pair >> 24, pair & ((1 << 24) - 1)
     width = (1 << bits) + 256
     seen = np.bincount(col, minlength=width)
     nb = max((1 - good).sum(), 1e-9)
@@ -269,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", tex
         drawn = known.orderBy(order).limit(train_rows)
         sample = own.join(F.broadcast(drawn), "doc_id").select("text", "known").toArrow()
         if sample.num_rows:
-            lexicon = learn_lexicon(features(sample["text"]), sample["known"].to_numpy(zero_copy_only=False).astype(bool))
+            lexicon = learn_lexicon((features(p["text"]), p["known"].to_numpy(zero_copy_only=False).astype(bool)) for p in slices(sample.to_batches(), "text", 4 << 20))
         marked = own.join(F.broadcast(drawn), "doc_id", "left").select("doc_id", "text", F.when(F.col("known"), 1).when(~F.col("known"), -1).otherwise(0).alias("marked"))
     else:
         marked = own.withColumn("marked", F.lit(0))
@@ -281,13 +288,13 @@ def train(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", tex
     chosen = marked.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").limit(train_rows)
     rows = chosen.select("text", "marked").toArrow()
     row, col, good, base = [], [], [], 0
-    for part in slices(rows.to_batches(), "text", 8 << 20):
+    for part in slices(rows.to_batches(), "text", 4 << 20):
         f = features(part["text"])
         v = votes(f, lexicon, part["marked"].to_numpy())
         p = model.posterior(v)
         r, c = slots(f, v, bits)
-        row.append(r + base)
-        col.append(c)
+        row.append((r + base).astype(np.int32))
+        col.append(c.astype(np.int32))
         good.append(1 - p)
         base += part.num_rows
     if not base:
