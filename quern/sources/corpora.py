@@ -45,7 +45,7 @@ def write_benchmark(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, pat
 def gold_lists(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(queries, qrels) of questions(pos, query, gold array): one qrel of grade 1 for each gold id, query ids by position."""
     named = questions.select(F.concat(F.lit("q"), F.col("pos").cast("string")).alias("query_id"), F.col("query").alias("text"), "gold")
-    return named.select("query_id", "text"), named.select("query_id", F.explode("gold").cast("string").alias("doc_id"), F.lit(1).alias("rel"))
+    return named.select("query_id", "text"), named.select("query_id", F.explode(F.col("gold").cast("array<string>")).alias("doc_id"), F.lit(1).alias("rel"))
 
 
 def excluded(questions: DataFrame) -> DataFrame:
