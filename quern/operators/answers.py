@@ -60,4 +60,4 @@ def list_sources(chunks: DataFrame, source: str, title: str, order: str) -> Data
 
 def fingerprint(chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """Count and an order-free digest of the ids."""
-    return chunks.agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.crc32(F.col(id_col).cast("string"))).alias("digest"))
+    return chunks.agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long")).alias("digest"))

@@ -154,6 +154,7 @@ SELECT doc_id, CAST(seg AS BIGINT) AS seg_no, coalesce(max(text) FILTER (head),
     out["figure_reindex"] = "WITH t AS (SELECT doc_id, source FROM documents WHERE lang <> 'es') SELECT * FROM t UNION ALL SELECT doc_id, source FROM documents WHERE lang = 'es' AND doc_id % 2 = 0 AND source IN (SELECT source FROM t)"
     out["augmented_corpora"] = "SELECT 'base' AS corpus_id, count(*) AS chunks, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE lang <> 'es' UNION ALL SELECT 'augmented', count(*), CAST(sum(n_chars) AS BIGINT) FROM documents"
     out["index_health"] = "SELECT count(*) AS chunks, count(DISTINCT source) AS sources, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END AS status, count(*) <= 80000 AS exact_search FROM documents"
+    out["corpus_fingerprint"] = "SELECT count(*) AS chunks, CAST(sum(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM documents"
     out["list_sources_first_title"] = "SELECT source, min_by(substr(text, 1, 40), doc_id) AS title, count(*) AS chunks FROM documents GROUP BY source"
     out["context_block"] = f"WITH {_bm25(5)}, c AS (SELECT query_id, string_agg('[' || rank || '] ' || source || ' (2024) — ' || lang || chr(10) || regexp_replace('as [6, 14] say ' || substr(text, 1, 300), '\\[\\d+(?:\\s*,\\s*\\d+)*\\]', '', 'g'), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM sparse JOIN documents USING (doc_id) GROUP BY query_id) SELECT query_id, md5(context) AS context_md5, length(context) AS n_chars FROM c"
     out["citation_check"] = "WITH a AS (SELECT doc_id, doc_id % 6 AS n, list_sort(list_distinct(list_filter([doc_id % 9, 2, 99, n_chars % 30], lambda x: x >= 1 AND x <= doc_id % 6))) AS c FROM documents) SELECT doc_id AS query_id, coalesce(array_to_string(c, ','), '') AS cited, len(c) > 0 AS grounded FROM a"
