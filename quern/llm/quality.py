@@ -155,20 +155,20 @@ def votes(f: Features, lexicon: np.ndarray, marked: np.ndarray | None = None) ->
     return v
 
 
-def learn_lexicon(parts: Iterator[tuple[Features, np.ndarray]], least: int = 5, odds: float = 25.0, alone: float = 0.002) -> np.ndarray:
-    """Hashes of word beginnings in ``least`` bad documents or more and ``odds`` times as common there; of (features, bad) for one part of the sample after another."""
-    keys, counts, nb, ng = np.zeros(0, U), np.zeros((0, 2)), 0, 0
-    for f, bad in parts:
-        own, inv = np.unique(np.concatenate([keys, f.hash]), return_inverse=True)
-        sums = np.zeros((len(own), 2))
-        sums[inv[: len(keys)]] = counts
-        in_bad = bad[f.row]
-        sums[:, 1] += np.bincount(inv[len(keys) :], weights=in_bad, minlength=len(own))
-        sums[:, 0] += np.bincount(inv[len(keys) :], weights=~in_bad, minlength=len(own))
-        keys, counts = own, sums
-        nb, ng = nb + int(bad.sum()), ng + int((~bad).sum())
-    nb, ng = max(1, nb), max(1, ng)
-    return keys[(counts[:, 1] >= least) & (counts[:, 1] / nb >= odds * (counts[:, 0] + 0.5) / ng) & (counts[:, 0] / ng <= alone)]
+def learn_lexicon(sample: DataFrame, least: int = 5, odds: float = 25.0, alone: float = 0.002) -> np.ndarray:
+    """Hashes of word beginnings in ``least`` bad documents or more and ``odds`` times as common there; sample(text, known)."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            f = features(part["text"])
+            bad = part["known"].to_numpy(zero_copy_only=False).astype(bool)
+            yield from pa.table({"hash": pa.array(f.hash.view(np.int64)), "bad": pa.array(bad[f.row])}).to_batches()
+
+    size = sample.agg(F.count_if("known").alias("bad"), F.count_if(~F.col("known")).alias("good")).first()
+    nb, ng = max(1, size.bad), max(1, size.good)
+    counts = sample.mapInArrow(listed, "hash long, bad boolean").groupBy("hash").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g"))
+    kept = counts.where((F.col("b") >= least) & (F.col("b") / nb >= odds * (F.col("g") + 0.5) / ng) & (F.col("g") / ng <= alone))
+    return np.sort(kept.select("hash").toArrow()["hash"].to_numpy(zero_copy_only=False).astype(np.int64).view(U))
 
 
 @dataclass
@@ -266,7 +266,7 @@ def _vote_rows(lexicon: np.ndarray):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 8_000, bits: int = 18) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 6_000, bits: int = 18) -> QualityModel:
     """``labels``: doc_id, bad (boolean)."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = F.xxhash64(F.col("doc_id"), F.lit(11))
@@ -274,9 +274,7 @@ def train(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", tex
     if labels is not None:
         known = labels.groupBy("doc_id").agg(F.max("bad").alias("known"))
         drawn = known.orderBy(order).limit(train_rows)
-        sample = own.join(F.broadcast(drawn), "doc_id").select("text", "known").toArrow()
-        if sample.num_rows:
-            lexicon = learn_lexicon((features(p["text"]), p["known"].to_numpy(zero_copy_only=False).astype(bool)) for p in slices(sample.to_batches(), "text", 4 << 20))
+        lexicon = learn_lexicon(own.join(F.broadcast(drawn), "doc_id").select("text", "known"))
         marked = own.join(F.broadcast(drawn), "doc_id", "left").select("doc_id", "text", F.when(F.col("known"), 1).when(~F.col("known"), -1).otherwise(0).alias("marked"))
     else:
         marked = own.withColumn("marked", F.lit(0))
@@ -286,20 +284,24 @@ def train(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", tex
     model = fit_label_model(patterns, seen["count"].to_numpy(zero_copy_only=False).astype(float))
     chosen = own.orderBy(F.xxhash64(F.col("doc_id"), F.lit(23)), "doc_id").limit(train_rows)
     chosen = marked.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").limit(train_rows)
-    rows = chosen.select("text", "marked").toArrow()
-    row, col, good, base = [], [], [], 0
-    for part in slices(rows.to_batches(), "text", 4 << 20):
-        f = features(part["text"])
-        v = votes(f, lexicon, part["marked"].to_numpy())
-        p = model.posterior(v)
-        r, c = slots(f, v, bits)
-        row.append((r + base).astype(np.int32))
-        col.append(c.astype(np.int32))
-        good.append(1 - p)
-        base += part.num_rows
-    if not base:
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            f = features(part["text"])
+            v = votes(f, lexicon, part["marked"].to_numpy())
+            r, c = slots(f, v, bits)
+            o = np.argsort(r, kind="stable")
+            off = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=part.num_rows))]).astype(np.int32)
+            cols = pa.ListArray.from_arrays(pa.array(off), pa.array(c[o].astype(np.int32)))
+            yield from pa.table({"cols": cols, "good": pa.array(1 - model.posterior(v))}).to_batches()
+
+    # features of the sample are made by the executors; the driver gets small integers
+    rows = chosen.select("text", "marked").mapInArrow(coded, "cols array<int>, good double").toArrow()
+    if not rows.num_rows:
         return QualityModel(model, Scorer(np.zeros((1 << bits) + 256), 1.0, bits), lexicon)
-    return QualityModel(model, fit_scorer(np.concatenate(row), np.concatenate(col), np.concatenate(good), bits), lexicon)
+    cols = rows["cols"].combine_chunks()
+    per = np.asarray(cols.value_lengths())
+    return QualityModel(model, fit_scorer(np.repeat(np.arange(len(per), dtype=np.int32), per), cols.flatten().to_numpy(), rows["good"].to_numpy(), bits), lexicon)
 
 
 def classify(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
