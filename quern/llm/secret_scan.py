@@ -318,11 +318,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     likely = F.col("text").rlike(r"(?i)password|passwd|secret|token|api_?key|AKIA") | F.col("text").rlike(r"[0-9a-f]{24}")
     order = F.xxhash64(F.col("doc_id"), F.lit(31))
-    rare = own.where(likely).orderBy(order).limit(train_docs // 2)
-    rest = own.orderBy(order).limit(train_docs - train_docs // 2)
+    # only ids are ordered; the texts of the chosen few are fetched by them
+    rare = own.where(likely).select("doc_id").orderBy(order).limit(train_docs // 2)
+    rest = own.select("doc_id").orderBy(order).limit(train_docs - train_docs // 2)
+    chosen = rare.union(rest).distinct()
     field = Field()
     xs, ss, ys, n = [], [], [], 0
-    sample = rare.union(rest).toArrow()
+    sample = own.join(F.broadcast(chosen), "doc_id", "left_semi").limit(2 * train_docs).toArrow()
     for part in slices(sample.to_batches(), "text"):
         texts = part["text"].combine_chunks()
         t = tokenize(texts)
