@@ -67,6 +67,13 @@ def test_dense_and_lsh(spark, sf):
     assert len(exact) == 80 and {(i, i) for i, _ in exact} <= near
 
 
+def test_lsh_finds_the_neighbours_of_the_exact_search(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    q = v.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    exact, near = ({(r.query_id, r.vec_id) for r in f(q, v, 8).where("query_id <> vec_id").collect()} for f in (retrieval.dense_topk, retrieval.dense_topk_lsh))
+    assert len(exact) == 350 and len(exact & near) >= 0.9 * len(exact)
+
+
 def test_graded_metrics_by_hand(spark):
     qrels = spark.createDataFrame([("q", "a", 2), ("q", "b", 1), ("r", "z", 1)], "query_id string, doc_id string, rel int")
     runs = spark.createDataFrame([("q", "x", 1), ("q", "b", 2), ("q", "a", 3)], "query_id string, doc_id string, rank int")
