@@ -87,9 +87,13 @@ def candidates(t: Tokens) -> np.ndarray:
             while at >= 0:
                 where.append(at)
                 at = data.find(needle, at + 1)
-    h = np.concatenate([[0], _HEXD[t.buf].astype(np.int8), [0]])
-    edge = np.flatnonzero(np.diff(h))
-    runs = edge[::2][edge[1::2] - edge[::2] >= 24]
+    # runs end with their word, so that the end of one text and the start of the next do not join
+    edge = np.zeros(len(t.buf) + 1, bool)
+    edge[t.start] = edge[t.end] = True
+    h = np.concatenate([[False], _HEXD[t.buf], [False]])
+    begin = np.flatnonzero(h[1:-1] & (~h[:-2] | edge[:-1]))
+    end = np.flatnonzero(h[1:-1] & (~h[2:] | edge[1:])) + 1
+    runs = begin[end - begin >= 24]
     at = np.concatenate([np.array(where, np.int64), runs])
     if len(at):
         word = np.searchsorted(t.start, at, side="right") - 1

@@ -68,6 +68,13 @@ def test_secrets(spark, sf):
     assert secret_scan.scan(docs.limit(0), field).count() == 0
 
 
+def test_hex_runs_end_with_their_text():
+    texts = pa.array(["ends in a digest cafe", "0123456789abcdef01234567 first", None, "", "f" * 24, "g"])
+    assert secret_scan.candidates(secret_scan.tokenize(texts)).tolist() == [False, True, False, False, True, False]
+    found = secret_scan.find(texts, secret_scan.Field(), False)
+    assert [[tuple(s.values() if isinstance(s, dict) else s)[:3] for s in r if "hex" in str(s)] for r in found] == [[], [("hex", 0, 24)], [], [], [("hex", 0, 24)], []]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     f = secret_scan.Field()
