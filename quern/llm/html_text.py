@@ -3,11 +3,13 @@
 The page is cut into *lines*, one for each block element, while markup, scripts, styles,
 forms, comments and the parts that name themselves as menus, headers, footers, sidebars,
 notices, adverts or reader comments fall away.  Text lengths summed over sliding windows of
-lines give a distribution with plateaus over articles: a *surge* is where the windowed length
-climbs over the threshold and the next windows stay above zero, a *dive* where it falls to
-nothing.  Lines between a surge and its dive are kept; link text counts as menu, not as
-length.  Where the page names its article (``<article>``, ``<main>``, or an articleBody), the
-surge and dive are those of that element and every line between them is kept, however short.
+lines give a distribution with plateaus over articles: a plateau begins at the line where the
+windowed length leaves nothing (the *surge*, if it climbs over the threshold) and ends where it
+falls to nothing again (the *dive*).  All lines between a surge and its dive are kept, short or
+linked ones, too; link text counts as menu, not as length.  Where nothing climbs over the
+threshold, the highest plateau is the article.  Where the page names its article
+(``<article>``, ``<main>``, or an articleBody), the distribution is that of the lines of each
+such element.
 
 Defined results: null, empty or markup-only html gives an empty text and 0 characters; a tag
 that is never closed ends with the page (or with the parent, for ``p``, ``li`` and the like); a
@@ -170,21 +172,24 @@ def lines(page: str) -> list[_Line]:
 
 
 def between_surges(found: list[_Line], window: int = 3, threshold: int = 86) -> list[_Line]:
-    """Lines between surge and dive points of the windowed text lengths."""
+    """Lines of the plateaus of the windowed text lengths that surge over the threshold; the highest plateau where none does."""
     n = len(found)
     length = [max(0, len(x.text) - 2 * x.linked) for x in found]
     total = [sum(length[i : i + window]) for i in range(n)]
-    keep, i = [], 0
+    keep, spans, i = [], [], 0
     while i < n:
-        rising = total[i] > threshold and length[i] > 0 and all(total[j] > 0 for j in range(i, min(n, i + window)))
-        if not rising:
+        if not length[i]:
             i += 1
             continue
         j = i
         while j < n and total[j] > 0:
             j += 1
-        keep += [x for x, size in zip(found[i:j], length[i:j], strict=True) if size > 0]
+        spans.append((max(total[i:j]), i, j))
         i = j
+    least = min(threshold + 1, max((top for top, _, _ in spans), default=0))
+    for top, i, j in spans:
+        if top >= least:
+            keep += found[i:j]
     return keep
 
 
@@ -192,11 +197,11 @@ def main_text(page: str | None, window: int = 3, threshold: int = 86) -> str:
     if not page:
         return ""
     found = lines(page)
-    size: dict[int, int] = {}
+    parts: dict[int, list[_Line]] = {}
     for x in found:
         if x.home:
-            size[x.home] = size.get(x.home, 0) + len(x.text)
-    kept = [x for x in found if x.home] if size else between_surges(found, window, threshold)
+            parts.setdefault(x.home, []).append(x)
+    kept = [x for part in parts.values() or [found] for x in between_surges(part, window, threshold)]
     return "\n".join(x.text for x in kept)
 
 

@@ -35,6 +35,21 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+LONG = "long text " * 12 + "end"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body><div>Short title</div><p>A short article.</p></body>", "Short title\nA short article."),
+        (f"<body><p>Title</p><p>By me</p><p>Today</p><p>{LONG}</p><p><a>{LONG}</a></p><p>{LONG}</p></body>", f"Title\nBy me\nToday\n{LONG}\n{LONG}\n{LONG}"),
+        (f"<article><p>Title</p><p>{LONG}</p><p><a>see here</a></p><p>Bye</p>" + "<p><a>more</a></p>" * 5 + "</article>", f"Title\n{LONG}\nsee here\nBye"),
+    ],
+)
+def test_surges_and_dives(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_extract_keeps_columns(spark):
     rows = [(1, "u", PAGE, "old"), (1, None, None, None)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
