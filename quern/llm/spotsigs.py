@@ -7,11 +7,9 @@ similarity of their sets.  Two sets can only be alike by t if their sizes are wi
 of t: sets are partitioned by size, and a comparison stops as soon as the signatures left
 cannot lift it to the threshold.
 
-A fingerprint is the sorted set, packed: its size class (partition), the number of
-signatures, and for each of ``slots`` ranges of the signature hash space the smallest hash in
-the range.  Below ``slots`` signatures it is the set itself, so that likeness is exact; above,
-likeness is estimated from the ranges.  A text without spots falls back to the chains of all
-its words, and a text without words has the empty fingerprint.
+A fingerprint is the whole sorted set, packed: its size class (partition), the number of
+signatures, and the signatures, so that likeness is exact at any size.  A text without spots
+falls back to the chains of all its words, and a text without words has the empty fingerprint.
 
 Defined results: null is the empty text; two empty fingerprints have likeness 1, an empty and
 another 0; rows that repeat an id follow each other in the order of their text hashes; the
@@ -30,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tokens import U, hash_slices, join_hash, mix, tokenize
+from .tokens import U, hash_slices, join_hash, tokenize
 
 # --- fixed values: very common words (articles, conjunctions, prepositions, pronouns, auxiliaries) of English, French, German and Spanish ---
 ANCHORS = (
@@ -39,7 +37,6 @@ ANCHORS = (
     "der die das den dem des ein eine einer einen und oder zu im in ist sind von mit auf für nicht es er sie wir ihr sich als auch an aus bei "
     "el los las un una unos de del y o a al en que es son por para con no se su sus lo como más pero"
 )
-SLOTS = 64
 
 
 def anchor_hashes(words: str = ANCHORS) -> np.ndarray:
@@ -90,48 +87,23 @@ def signatures(col: pa.Array | pa.ChunkedArray, anchors: np.ndarray, chain: int
 
 
 class Prints:
-    """Fingerprints of the rows of a column: size of each set and its least hash in each range (0: none)."""
+    """Fingerprints of the rows of a column: the whole sorted set of signatures of each row."""
 
-    def __init__(self, col: pa.Array | pa.ChunkedArray, anchors: np.ndarray, slots: int = SLOTS):
-        row, sig, rows = signatures(col, anchors)
+    def __init__(self, col: pa.Array | pa.ChunkedArray, anchors: np.ndarray):
+        row, self.sig, rows = signatures(col, anchors)
         self.size = np.bincount(row, minlength=rows)
-        self.least = np.zeros((rows, slots), np.uint32)
-        if len(row):
-            slot = (mix(sig ^ U(0xA5A5)) % U(slots)).astype(np.int64)
-            low = np.maximum((sig >> U(32)).astype(np.uint32), 1)
-            key = row * slots + slot
-            o = np.lexsort((low, key))
-            first = np.concatenate([[True], key[o][1:] != key[o][:-1]])
-            self.least.reshape(-1)[key[o][first]] = low[o][first]
-        self.row, self.sig = row, sig
         self.begin = np.concatenate([[0], np.cumsum(self.size)])
-        self.slots = slots
+
+    def of(self, i: int) -> np.ndarray:
+        return self.sig[self.begin[i] : self.begin[i + 1]]
 
     def text(self) -> list[str]:
-        """Hexadecimal: size class, size, then the set itself (up to ``slots``) or the least hash of each range."""
-        big = self.least.astype(">u4")
-        out = []
-        for i, n in enumerate(self.size.tolist()):
-            head = f"{n.bit_length():02x}{n:08x}"
-            if n <= self.slots:
-                out.append(head + self.sig[self.begin[i] : self.begin[i + 1]].astype(">u8").tobytes().hex())
-            else:
-                out.append(head + big[i].tobytes().hex())
-        return out
+        """Hexadecimal: size class, size, then the set itself."""
+        return [f"{n.bit_length():02x}{n:08x}" + self.of(i).astype(">u8").tobytes().hex() for i, n in enumerate(self.size.tolist())]
 
     def likeness(self, i: np.ndarray, other: Prints, j: np.ndarray) -> np.ndarray:
-        """Jaccard similarity of rows i here and rows j there: exact where both sets are whole in the fingerprint."""
-        n, m = self.size[i], other.size[j]
-        a, b = self.least[i], other.least[j]
-        used = ((a > 0) | (b > 0)).sum(axis=1)
-        out = ((a == b) & (a > 0)).sum(axis=1) / np.maximum(used, 1)
-        out = np.minimum(out, np.minimum(n, m) / np.maximum(np.maximum(n, m), 1))  # no more than the sizes allow
-        out[(n == 0) & (m == 0)] = 1.0
-        for k in np.flatnonzero((n > 0) & (m > 0) & (n <= self.slots) & (m <= self.slots)):
-            x, y = self.sig[self.begin[i[k]] : self.begin[i[k] + 1]], other.sig[other.begin[j[k]] : other.begin[j[k] + 1]]
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            out[k] = both / (len(x) + len(y) - both)
-        return out
+        """Jaccard similarity of rows i here and rows j there, over the whole sets; all are asked for, so the threshold is 0."""
+        return np.array([pruned_jaccard(self.of(a), other.of(b), 0.0) for a, b in zip(i.tolist(), j.tolist(), strict=True)], float)
 
 
 def pruned_jaccard(a: np.ndarray, b: np.ndarray, threshold: float) -> float | None:
@@ -141,10 +113,12 @@ def pruned_jaccard(a: np.ndarray, b: np.ndarray, threshold: float) -> float | No
         return 1.0
     if min(n, m) < threshold * max(n, m):
         return None
-    step, both = 64, 0
+    if not n or not m:
+        return 0.0
+    step, both = 64 if threshold > 0 else n, 0
     for s in range(0, n, step):
         part = a[s : s + step]
-        both += int(np.isin(part, b, assume_unique=True).sum())
+        both += int((b[np.minimum(np.searchsorted(b, part), m - 1)] == part).sum())
         left = n - min(n, s + step)
         most = both + left
         if most < threshold * (n + m - most):

@@ -122,6 +122,19 @@ def test_fingerprints(spark, sf):
     assert spotsigs.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_likeness_of_large_sets_is_exact(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"the w{a} v{b}" for a, b in rng.integers(0, 25, (n, 2))) for n in (700, 500, 30)]
+    got = spotsigs.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    sets = {i: {t[k : k + 3] for t in [tuple(x.split())] for k in range(0, len(t), 3)} for i, x in enumerate(texts)}
+    for r in got:
+        a, b = sets[r.doc_id], sets[(r.doc_id - 1) % 3]
+        assert abs(r.near_next - len(a & b) / len(a | b)) < 1e-12
+        assert int(r.fingerprint[2:10], 16) == len(a) and len(r.fingerprint) == 10 + 16 * len(a)
+        x, y = ({p[k : k + 16] for k in range(10, len(p), 16)} for p in (r.fingerprint, r.edited_fingerprint))
+        assert abs(r.near_edited - len(x & y) / len(x | y)) < 1e-12
+
+
 def test_pruned_jaccard():
     rng = np.random.default_rng(2)
     for _ in range(50):
