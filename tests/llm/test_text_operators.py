@@ -216,5 +216,14 @@ def test_language_model_is_a_distribution():
     assert lm_score.count_contexts(types, count).sum() == sum(c * (len(w) + 1) * 8 * len(lm_score.BITS) for w, c in zip(words, count, strict=True))
 
 
+def test_weights_are_learnt_from_all_words():
+    words = [b"%d" % i for i in range(100_000, 150_000)]
+    types = lm_score.Types(np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)]))
+    count = np.arange(len(words)) % 60
+    m = lm_score.Mixer()
+    m.learn(lm_score.count_contexts(types, count), types, count, float(count.sum()))
+    assert m.seen.sum() == np.minimum(count, 50).sum() * 7 * 8
+
+
 def test_no_texts(spark):
     assert lm_score.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
