@@ -118,12 +118,31 @@ class Items:
 
 def windows(t: Template, size: int, least_literal: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of the windows of that many tokens that have enough literal words."""
+    at, enough = _starts(t, size, least_literal)
+    at = at[enough]
+    return at, join_hash(rolling(t.code, size, 21)[at], np.full(len(at), size, U), 21) if len(at) else np.zeros(0, U)
+
+
+def exact_windows(t: Template, size: int, least_literal: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) over the words themselves: of the windows without enough literal words, or of all."""
+    at, enough = _starts(t, size, least_literal or 0)
+    at = at if least_literal is None else at[~enough]
+    return at, join_hash(rolling(t.value, size, 22)[at], np.full(len(at), size, U), 22) if len(at) else np.zeros(0, U)
+
+
+def _starts(t: Template, size: int, least_literal: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows inside one text, and whether they have enough literal words."""
     n = len(t.code) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, U)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     plain = np.concatenate([[0], np.cumsum(~t.slot, dtype=np.int64)])
-    at = np.flatnonzero((t.tokens.doc[:n] == t.tokens.doc[size - 1 :]) & (plain[size:] - plain[:n] >= min(least_literal, size)))
-    return at, join_hash(rolling(t.code, size, 21)[at], np.full(len(at), size, U), 21)
+    at = np.flatnonzero(t.tokens.doc[:n] == t.tokens.doc[size - 1 :])
+    return at, (plain[size:] - plain[:n])[at] >= min(least_literal, size)
+
+
+def both_windows(t: Template, size: int, least_literal: int, indexed: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Windows of the template and of the words themselves. Items are indexed by the one or the other; texts are asked for both, as their case and punctuation may make other slots."""
+    return [windows(t, size, least_literal), exact_windows(t, size, least_literal if indexed else None)]
 
 
 def index_items(table: pa.Table, window: int, least_literal: int) -> Items:
@@ -132,7 +151,7 @@ def index_items(table: pa.Table, window: int, least_literal: int) -> Items:
     sizes = sorted({int(min(window, k)) for k in n if k > 0})
     hs, pos = [], []
     for s in sizes:
-        at, h = windows(t, s, least_literal)
+        at, h = (np.concatenate(v) for v in zip(*both_windows(t, s, least_literal, True), strict=True))
         whole = n[t.tokens.doc[at]] if len(at) else at
         fit = np.minimum(whole, window) == s
         hs.append(h[fit])
@@ -187,7 +206,7 @@ def judge(col: pa.ChunkedArray, items: Items, least_literal: int, coverage: floa
     rows: list[list[dict]] = [[] for _ in range(len(col))]
     doc, pos, item, at, size = [], [], [], [], []
     for s in items.sizes:
-        start, h = windows(t, s, least_literal)
+        start, h = (np.concatenate(v) for v in zip(*both_windows(t, s, least_literal, False), strict=True))
         lo = np.searchsorted(items.hash, h)
         hit = np.flatnonzero(items.hash[np.minimum(lo, len(items.hash) - 1)] == h) if len(items.hash) else np.zeros(0, np.int64)
         if not len(hit):
@@ -250,16 +269,17 @@ def _exploded(key: str, window: int, least_literal: int, whole_only: bool):
             n = t.tokens.counts
             keys = part[key].combine_chunks()
             for s in range(1, window + 1):
-                at, h = windows(t, s, least_literal)
-                if whole_only:
-                    at_fit = np.minimum(n[t.tokens.doc[at]], window) == s if len(at) else np.zeros(0, bool)
-                    at, h = at[at_fit], h[at_fit]
-                if not len(at):
-                    continue
-                doc = t.tokens.doc[at]
-                grid = at[:, None] + np.arange(s)
-                values = [[[k, int(np.int64(v))] for k, v in zip(np.flatnonzero(m).tolist(), w[m].view(np.int64), strict=True)] if m.any() else [] for m, w in zip(t.slot[grid], t.value[grid], strict=True)]
-                yield from pa.table({"h": pa.array(h.view(np.int64)), key: keys.take(pa.array(doc)), "pos": pa.array(at - t.tokens.first[doc]), "size": pa.array(np.full(len(at), s), pa.int32()), "length": pa.array(n[doc], pa.int64()), "slots": pa.array(values, pa.list_(pa.list_(pa.int64())))}).to_batches()
+                for exact, (at, h) in enumerate(both_windows(t, s, least_literal, whole_only)):
+                    if whole_only:
+                        at_fit = np.minimum(n[t.tokens.doc[at]], window) == s if len(at) else np.zeros(0, bool)
+                        at, h = at[at_fit], h[at_fit]
+                    if not len(at):
+                        continue
+                    doc = t.tokens.doc[at]
+                    grid = at[:, None] + np.arange(s)
+                    slot = t.slot[grid] & (whole_only or not exact)  # an exact window of a text has the values of the item's
+                    values = [[[k, int(np.int64(v))] for k, v in zip(np.flatnonzero(m).tolist(), w[m].view(np.int64), strict=True)] if m.any() else [] for m, w in zip(slot, t.value[grid], strict=True)]
+                    yield from pa.table({"h": pa.array(h.view(np.int64)), key: keys.take(pa.array(doc)), "pos": pa.array(at - t.tokens.first[doc]), "size": pa.array(np.full(len(at), s), pa.int32()), "length": pa.array(n[doc], pa.int64()), "slots": pa.array(values, pa.list_(pa.list_(pa.int64())))}).to_batches()
 
     return run
 
@@ -277,8 +297,9 @@ def _by_shuffle(source: DataFrame, bench: DataFrame, text_col: str, window: int,
         rows = part.to_pylist()
         pair = {}
         for r in rows:
-            for (k, x), (_, y) in zip(r["item_slots"], r["doc_slots"], strict=True):
-                pair[r["pos"] - r["at"], r["at"] + k] = x, y
+            own = dict(r["doc_slots"])
+            for k, x in r["item_slots"]:
+                pair[r["pos"] - r["at"], r["at"] + k] = x, own.get(k, x)
         arr = lambda c: np.array([r[c] for r in rows], np.int64)
         zero = np.zeros(len(rows), np.int64)
         best = align(zero, arr("pos"), zero, arr("at"), arr("size"), lambda d, i, g, a, b: [pair[g, k] for k in range(a, b) if (g, k) in pair], np.array([rows[0]["length"]]))

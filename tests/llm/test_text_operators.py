@@ -161,6 +161,19 @@ def test_decontamination(spark, most):
     assert dec.decontaminate(docs.limit(0), bench, most_broadcast=most).count() == 0
 
 
+NUMBERS = "Lisa , Anna and Otto had 3 , 5 and 7 of 12 + 30 + 41 in Rome , Oslo and Bonn by 1990"
+
+
+@pytest.mark.parametrize("most", [2_000_000, -1])
+def test_decontamination_of_items_with_few_literals(spark, most):
+    items = ["Who painted the Mona Lisa?", "How much is 3 + 4?", NUMBERS]
+    asked = [(i, f"One more question is {x} and so on", True) for i, x in enumerate(items)] + [(10, items[0].lower(), True), (11, "Who painted the Last Supper?", False), (12, "How much is 3 + 5?", False), (13, NUMBERS.replace("7", "8").replace("30", "31").replace("Rome", "Riga").replace("Anna", "Emma"), False)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in asked], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted((r.doc_id, r.contaminated) for r in dec.decontaminate(docs, bench, most_broadcast=most).collect())
+    assert got == [(i, c) for i, _, c in asked]
+
+
 def test_quality_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")
