@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import inspect
 import math
 import re
 import zlib
@@ -189,6 +190,10 @@ def test_quality_on_held_out_labels(spark):
     assert quality.classify(odd, quality.train(odd.limit(0), None)).count() == 3
 
 
+def test_bound_of_the_training_rows():
+    assert inspect.signature(quality.train).parameters["train_rows"].default == 8_000
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(3)
     truth = rng.random(20_000) < 0.4
