@@ -8,15 +8,18 @@ on some B_j.  18 bands of 3 rows give 324 tables of 6 minhashes from 108 functio
 
 1. Equal shingle sets collapse to one node (equi-aggregate on a 64-bit set hash).
 2. Each node sends one row for each A_i with the bytes of all its B minhashes; in a cell of
-   A_i, the pairs (A_i, B_j) are the tables.  A table links its members to centres if the B
-   bytes agree on ``keep_share`` of functions; every member is compared with every centre, so
-   the links keep the table's candidate pairs connected without listing them.  A band value
-   with more than ``hot_rows`` rows is dealt to several cells, whose centres are then joined.
-3. Components of these links are candidate clusters.  Within each, full shingle sets decide:
-   a breadth-first search compares a node with all nodes not reached yet, which finds exactly
-   the components of the true links and is far from all pairs where copies abound.  A cluster
-   beyond ``cluster_bytes`` is searched in blocks; then everything outside its main component
-   is compared with every block, which is exact too.
+   A_i, the pairs (A_i, B_j) are the tables.  Members of a table are linked if their B bytes
+   agree on ``keep_share`` of functions.  The links themselves are not listed: a search compares
+   members with those it has not reached, starting from what earlier tables of the cell have
+   connected, and the cell returns a spanning forest, at most one edge for each of its nodes.  A
+   band value with more than ``hot_rows`` rows is dealt to several cells, and all parts of one
+   of its tables are joined.
+3. Components of the forests are candidate clusters.  Within each, full shingle sets decide: a
+   breadth-first search compares a node with those not reached yet that share one of its rarest
+   shingles (a pair at the similarity must), which finds exactly the components of the true
+   links and is far from all pairs, in groups of copies as in long chains.  A cluster beyond
+   ``cluster_bytes`` is searched in blocks; then everything outside its main component is
+   compared with every block, which is exact too.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; with fewer
 words than a shingle, the whole sequence is the one shingle; a null id keeps component null and
@@ -133,60 +136,99 @@ def _signatures(size: int, bands: int, rows: int):
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(a.reshape(-1)))
             sig = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, n * bands * rows + 1, bands * rows, dtype=np.int32)), pa.py_buffer(b.reshape(-1))])
             size_ = np.asarray(pa.compute.fill_null(pa.compute.binary_length(t["text"]), 0)).astype(np.int64)
-            yield from pa.table({"doc_id": t["doc_id"], "n_bytes": pa.array(size_), "sid": pa.array(sid), "n_shingles": pa.array(np.bincount(row, minlength=n), pa.int64()), "keys": keys, "sig": sig}).to_batches()
+            yield from pa.table({"doc_id": t["doc_id"], "tid": t["tid"], "n_bytes": pa.array(size_), "sid": pa.array(sid), "n_shingles": pa.array(np.bincount(row, minlength=n), pa.int64()), "keys": keys, "sig": sig}).to_batches()
 
     return sign
 
 
+class _Forest:
+    """Which nodes of a cell are connected so far: pointers that lead to the smallest node reached."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def find(self, nodes: np.ndarray) -> np.ndarray:
+        root = self.up[nodes]
+        while (self.up[root] != root).any():
+            root = self.up[root]
+        self.up[nodes] = root
+        return root
+
+    def join(self, nodes: np.ndarray) -> None:
+        roots = np.unique(self.find(nodes))
+        self.up[roots] = roots[0]
+
+
+def _reached(sig: np.ndarray, label: np.ndarray, need: int) -> np.ndarray:
+    """Component (0, 1, ...) of each row of a table, where rows of one label are connected and so are
+    rows whose bytes agree in ``need`` places.  A row is compared only with those not reached yet."""
+    comp = np.full(len(sig), -1)
+    number = 0
+    while (comp < 0).any():
+        first = int(np.argmax(comp < 0))
+        front = np.flatnonzero((label == label[first]) & (comp < 0))
+        comp[front] = number
+        while len(front):
+            free = np.flatnonzero(comp < 0)
+            if not len(free):
+                break
+            met = np.zeros(len(free), bool)
+            step = max(1, (8 << 20) // (len(free) * sig.shape[1]))
+            for s in range(0, len(front), step):
+                left = np.flatnonzero(~met)
+                if not len(left):
+                    break
+                met[left] = ((sig[front[s : s + step], None] == sig[free[left]][None]).sum(axis=2, dtype=np.int16) >= need).any(axis=0)
+            front = np.flatnonzero(np.isin(label, label[free[met]]) & (comp < 0)) if met.any() else free[:0]
+            comp[front] = number
+        number += 1
+    return comp
+
+
 def _tables(bands: int, rows: int, keep_share: float):
-    """Links within a cell; of a hot band value, also each centre with the hash of its table."""
+    """A spanning forest of the links within a cell (each node with the smallest one it reaches); of a hot band value, also one node of each part of a table with the hash of that table."""
     need = int(np.ceil(keep_share * bands * rows))
 
     def link(cell: pa.Table) -> pa.Table:
         band, sid, hot = cell["band"].to_numpy(), cell["sid"].to_numpy(), cell["hot"].to_numpy(zero_copy_only=False)
-        sig = np.frombuffer(cell["sig"].combine_chunks().buffers()[2], np.uint8)[: len(sid) * bands * rows].reshape(len(sid), -1) if cell["sig"].num_chunks == 1 else np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in cell["sig"]])
+        sig = np.frombuffer(b"".join(cell["sig"].to_pylist()), np.uint8).reshape(len(sid), -1)
         o = np.lexsort((sid, band))
         band, sid, sig, hot = band[o], sid[o], sig[o], hot[o]
-        new = np.concatenate([[True], band[1:] != band[:-1]])
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)
-        use = np.flatnonzero((size[group] > 1) | hot)
-        left, right, keys, centres = [], [], [], []
-        if len(use):
-            group, sid, sig, hot, band = group[use], sid[use], sig[use], hot[use], band[use]
-            for j in range(bands):
-                part = np.zeros(len(use), np.int64)
-                for r in range(rows):
-                    part = part * 256 + sig[:, j * rows + r]
-                table = group.astype(np.int64) << (8 * rows) | part
-                by = np.argsort(table, kind="stable")
-                tb = table[by]
-                begin = np.flatnonzero(np.concatenate([[True], tb[1:] != tb[:-1]]))
-                end = np.concatenate([begin[1:], [len(tb)]])
-                for s, e in zip(begin.tolist(), end.tolist(), strict=True):
-                    if e - s == 1 and not hot[by[s]]:
-                        continue
-                    member = by[s:e]
-                    open_ = np.ones(e - s, bool)
-                    while open_.any():
-                        c = int(np.argmax(open_))
-                        near = (sig[member] == sig[member[c]]).sum(axis=1) >= need
-                        near[c] = True
-                        if hot[member[c]]:
-                            keys.append(int(mix(band[member[c] : member[c] + 1].view(U) + U((j << 24) + int(part[member[c]])))[0].view(np.int64)))
-                            centres.append(int(sid[member[c]]))
-                        other = member[near]
-                        other = other[other != member[c]]
-                        right.append(sid[other])
-                        left.append(np.full(len(other), sid[member[c]]))
-                        open_ &= ~near
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        if len(a):
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            a, b = pair[:, 0], pair[:, 1]
+        group = np.cumsum(np.concatenate([[True], band[1:] != band[:-1]])) - 1
+        use = np.flatnonzero((np.bincount(group)[group] > 1) | hot)
+        group, sig, hot, band = group[use], sig[use], hot[use], band[use]
+        names, node = np.unique(sid[use], return_inverse=True)
+        forest = _Forest(len(names))
+        keys, parts = [], []
+        for j in range(bands if len(use) else 0):
+            part = np.zeros(len(use), np.int64)
+            for r in range(rows):
+                part = part * 256 + sig[:, j * rows + r]
+            table = group.astype(np.int64) << (8 * rows) | part
+            by = np.argsort(table, kind="stable")
+            begin = np.flatnonzero(np.concatenate([[True], table[by][1:] != table[by][:-1]]))
+            end = np.concatenate([begin[1:], [len(by)]])
+            label = forest.find(np.arange(len(names)))[node[by]]
+            apart = np.minimum.reduceat(label, begin) != np.maximum.reduceat(label, begin)
+            for s, e, open_ in zip(begin.tolist(), end.tolist(), (apart | hot[by[begin]]).tolist(), strict=True):
+                if not open_:
+                    continue
+                at = by[s:e]
+                comp = _reached(sig[at], forest.find(node[at]), need) if e - s > 1 else np.zeros(1, np.int64)
+                _, heads, count = np.unique(comp, return_index=True, return_counts=True)
+                order, ends = np.argsort(comp, kind="stable"), np.cumsum(count)
+                for c in np.flatnonzero(count > 1).tolist():
+                    forest.join(node[at[order[ends[c] - count[c] : ends[c]]]])
+                if hot[at[0]]:
+                    key = int(mix(band[at[:1]].view(U) + U((j << 24) + int(part[at[0]])))[0].view(np.int64))
+                    keys += [key] * len(heads)
+                    parts += names[node[at[heads]]].tolist()
+        root = forest.find(np.arange(len(names)))
+        far = np.flatnonzero(root != np.arange(len(names)))
         k = len(keys)
-        return pa.table({"key": pa.array([None] * len(a) + keys, pa.int64()), "a": pa.array(np.concatenate([a, np.array(centres, np.int64)])), "b": pa.array(np.concatenate([b, np.array(centres, np.int64)]), pa.int64(), mask=np.concatenate([np.zeros(len(a), bool), np.ones(k, bool)]))})
+        a = np.concatenate([names[far], np.array(parts, np.int64)])
+        b = np.concatenate([names[root[far]], np.zeros(k, np.int64)])
+        return pa.table({"key": pa.array([None] * len(far) + keys, pa.int64()), "a": pa.array(a), "b": pa.array(b, pa.int64(), mask=np.arange(len(b)) >= len(far))})
 
     return link
 
@@ -220,18 +262,39 @@ class _Sets:
     def search(self, num: int, den: int) -> np.ndarray:
         """Component number (the first row) of each row, by breadth-first search over true links."""
         rows = len(self.size)
-        comp = np.full(rows, -1)
+        comp, unmet = np.full(rows, -1), np.ones(rows, bool)
+        often = np.bincount(self.code, minlength=len(self.mark))
+        owner = np.repeat(np.arange(rows), self.size)
+        rarest = np.lexsort((self.code, often[self.code], owner))
+        # two sets at the similarity have at least num/den of either in common, so their rarest shingles meet
+        head = self.size - -(-num * self.size // den) + 1
+        rank = np.arange(len(owner)) - self.begin[owner]
+        first = rarest[rank < head[owner]]
+        code, holder = self.code[first], owner[first]
+        at = np.concatenate([[0], np.cumsum(np.bincount(holder, minlength=rows))])
+        by = np.argsort(code, kind="stable")
+        post = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(self.mark)))])
+        posted = holder[by]
         free = np.arange(rows)
-        while len(free):
-            root, free = int(free[0]), free[1:]
-            comp[root] = root
+        for root in range(rows):
+            if not unmet[root]:
+                continue
+            comp[root], unmet[root] = root, False
             queue = [root]
-            while queue and len(free):
-                hit = self.linked(queue.pop(), free, num, den)
-                if hit.any():
-                    comp[free[hit]] = root
-                    queue += free[hit].tolist()
-                    free = free[~hit]
+            while queue:
+                i = queue.pop()
+                mine = code[at[i] : at[i + 1]]
+                lo, n = post[mine], post[mine + 1] - post[mine]
+                if n.sum() < len(free):
+                    seen = posted[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    others = np.unique(seen[unmet[seen]])
+                else:
+                    free = free[unmet[free]]
+                    others = free
+                if len(others):
+                    hit = others[self.linked(i, others, num, den)]
+                    comp[hit], unmet[hit] = root, False
+                    queue += hit.tolist()
         return comp
 
 
@@ -298,10 +361,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (the smallest id that
     links reach), kept (the row has that smallest id)."""
     num, den = similarity
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = cut(own.mapInArrow(_signatures(shingle, bands, rows), "doc_id long, n_bytes long, sid long, n_shingles long, keys array<long>, sig binary"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tid", F.xxhash64("text"))
+    signed = cut(own.mapInArrow(_signatures(shingle, bands, rows), "doc_id long, tid long, n_bytes long, sid long, n_shingles long, keys array<long>, sig binary"))
     full = signed.where("n_shingles > 0")
-    nodes = cut(full.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.first("keys").alias("keys"), F.first("sig").alias("sig")).where("doc_id IS NOT NULL"))
+    nodes = full.where("doc_id IS NOT NULL").groupBy("sid").agg(F.min(F.struct("doc_id", "tid")).alias("least"), F.max("n_bytes").alias("n_bytes"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    nodes = cut(nodes.select("sid", "least.doc_id", "least.tid", "n_bytes", "keys", "sig"))
     n = nodes.count()
 
     # tables
@@ -325,11 +389,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clusters = components(links.where("b IS NOT NULL").select("a", "b"))
 
     # confirmation on full sets
-    members = cut(clusters.withColumnRenamed("node", "sid").withColumnRenamed("least", "cluster").join(nodes.select("sid", "doc_id", "n_bytes"), "sid"))
+    members = cut(clusters.withColumnRenamed("node", "sid").withColumnRenamed("least", "cluster").join(nodes.select("sid", "doc_id", "tid", "n_bytes"), "sid"))
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n_bytes") / cluster_bytes).alias("blocks"))
     total = members.agg(F.sum("n_bytes")).first()[0] or 0
     spread = max(1, total // cell_bytes + 1)
-    placed = members.join(blocks, "cluster").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("sid"), F.col("blocks"))).otherwise(0).cast("int")).join(own, "doc_id")
+    placed = members.join(blocks, "cluster").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("sid"), F.col("blocks"))).otherwise(0).cast("int")).join(own, ["doc_id", "tid"])
     celled = placed.select("cluster", "block", "sid", "text", F.pmod(F.xxhash64("cluster", "block"), F.lit(spread)).cast("int").alias("cell"))
     found = cut(celled.groupBy("cell").applyInArrow(_confirm(shingle, num, den), "cluster long, block int, sid long, comp long"))
     comp = found.select("sid", "comp")
@@ -347,7 +411,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _join_blocks(parts: DataFrame, found: DataFrame, members: DataFrame, own: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """Joins the components of clusters that were searched in blocks."""
-    texts = members.select("sid", "doc_id").join(own, "doc_id").select("sid", "text")
+    texts = members.select("sid", "doc_id", "tid").join(own, ["doc_id", "tid"]).select("sid", "text")
     size = parts.groupBy("cluster", "block", "comp").count()
     main = size.groupBy("cluster", "block").agg(F.max_by("comp", F.struct("count", -F.col("comp"))).alias("comp"))
     heads = main.select("cluster", F.lit(0).alias("block"), F.col("comp").alias("sid")).join(texts, "sid").withColumn("cell", F.pmod(F.xxhash64("cluster"), F.lit(997)).cast("int"))

@@ -28,6 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _digest(edges: DataFrame) -> tuple:
+    """Number of (distinct) edges and a hash of them all, in any order."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(7)))).first())
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, least): the smallest node of each connected component of ``edges(a, b)`` (longs).
 
@@ -35,8 +40,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     the shuffle) and one equi-join, and the number of rounds grows with the logarithm of the
     component size.  Nodes without an edge are not returned."""
     e = cut(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct())
+    held = _digest(e)
     for _ in range(rounds):
-        before = e
         both = e.union(e.selectExpr("b AS a", "a AS b"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").selectExpr("b AS a", "m AS b")
@@ -44,8 +49,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").selectExpr("b AS a", "m AS b").union(low.selectExpr("a", "m AS b")).where("a <> b").distinct()
-        e = cut(small)
-        if e.count() == before.count() and e.exceptAll(before).isEmpty():
+        e, before = cut(small), held
+        held = _digest(e)
+        if held == before:
             break
     else:
         raise RuntimeError("components did not settle")

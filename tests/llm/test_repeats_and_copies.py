@@ -114,6 +114,32 @@ def test_chains_of_near_copies(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_borderline_links(spark):
+    """Pairs around the similarity: recall of the true links, as components hold them (brute force)."""
+    rng = random.Random(8)
+    rows = []
+    for base in range(12):
+        words = [f"b{base}w{rng.randint(0, 10**6)}" for _ in range(rng.randint(30, 200))]
+        for v in range(30):
+            w = list(words)
+            for _ in range(round(len(w) * rng.uniform(0, 0.12))):
+                w[rng.randrange(len(w))] = f"x{rng.randint(0, 10**9)}"
+            rows.append((100 * base + v, " ".join(w), 0, "", 0, ""))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=2).collect()}
+    sets = {i: {*zip(t.split(), t.split()[1:], strict=False)} for i, t, *_ in rows}
+    true = [(a, b) for a in sets for b in sets if a < b and a // 100 == b // 100 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(true) > 700
+    assert sum(got[a] == got[b] for a, b in true) >= 0.999 * len(true)
+    assert sorted((str(i), c) for i, c in got.items()) == sorted((i, int(c)) for i, _, c in want_components(rows, 2))
+
+
+def test_repeated_id_with_many_texts(spark):
+    """Each row is judged by its own text; the texts of one id are not multiplied."""
+    rows = [(1, f"a{k} b{k} c{k} d{k} e{k} f{k}", 0, "", 0, "") for k in range(40)] * 2 + [(2, "a3 b3 c3 d3 e3 f3", 0, "", 0, "")]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=2).collect()
+    assert len(got) == 81 and {r.component_id for r in got} == {1}
+
+
 def test_no_documents(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
