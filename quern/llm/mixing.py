@@ -1,7 +1,7 @@
 """Mixing sources to target weights by hierarchical budgets (DataFrame operations only).
 
 The tree is domain / language / source.  A node's capacity is the tokens below it times
-``max_epochs``.  From the root down, a node's budget is shared among its children by weight;
+``max_epochs``, those under a weight of 0 left out.  From the root down, a node's budget is shared among its children by weight;
 what a child cannot take goes to its siblings, by weight, and leaves the parent only when all
 siblings are full -- and then the parent's own capacity, which its parent has already used,
 was the limit.  The level of a family is found in one window pass over the children in order
@@ -52,6 +52,16 @@ def _weight(name: Column, given: dict[str, int] | None, default: int) -> Column:
     return F.coalesce(F.create_map(*pairs)[name], F.lit(default)).cast("long")
 
 
+def _wide(name: str) -> Column:
+    """A number whose products with weights stay exact."""
+    return F.col(name).cast("decimal(38,0)")
+
+
+def _usable(name: str = "capacity") -> Column:
+    """Capacity that a node can give its parent."""
+    return F.sum(F.when(F.col("weight") > 0, F.col(name)).otherwise(0))
+
+
 def _share(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     """``given`` of each node: its part of ``budget`` (the parent's), at most ``capacity``, by ``weight``."""
     order = Window.partitionBy(*parent).orderBy(F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).asc_nulls_last(), name) if parent else Window.partitionBy(F.lit(0)).orderBy(F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).asc_nulls_last(), name)
@@ -59,21 +69,20 @@ def _share(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     onward = order.rowsBetween(0, Window.unboundedFollowing)
     n = nodes.withColumn("full_before", F.coalesce(F.sum("capacity").over(before), F.lit(0))).withColumn("weight_on", F.sum("weight").over(onward))
-    n = n.withColumn("is_full", (F.col("weight") > 0) & (F.col("capacity") * F.col("weight_on") <= (F.col("budget") - F.col("full_before")) * F.col("weight")))
+    n = n.withColumn("is_full", (F.col("weight") > 0) & (_wide("capacity") * _wide("weight_on") <= (_wide("budget") - _wide("full_before")) * _wide("weight")))
     n = n.withColumn("full", F.sum(F.when(F.col("is_full"), F.col("capacity")).otherwise(0)).over(family)).withColumn("weight_open", F.sum(F.when(F.col("is_full"), 0).otherwise(F.col("weight"))).over(family))
-    open_share = F.expr("CASE WHEN weight_open > 0 THEN ((budget - full) * weight) div weight_open ELSE 0L END")
+    open_share = F.expr("CASE WHEN weight_open > 0 THEN (CAST(budget - full AS DECIMAL(38,0)) * CAST(weight AS DECIMAL(38,0))) div CAST(weight_open AS DECIMAL(38,0)) ELSE 0L END")
     return n.withColumn("given", F.when(F.col("is_full"), F.col("capacity")).otherwise(F.least(open_share, F.col("capacity"))).cast("long")).drop("full_before", "weight_on", "is_full", "full", "weight_open")
 
 
 def budgets(leaves: DataFrame, total: int, domain_weights: dict[str, int] | None, lang_weights: dict[str, int] | None, source_weights: dict[str, int] | None, default_weight: int, max_epochs: int) -> DataFrame:
     """``leaves(_domain, _lang, _source, tokens)`` with ``target``, the tokens each may give."""
-    capped = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
-    level = capped.groupBy("_domain").agg(F.sum("capacity").alias("capacity")).withColumn("budget", F.lit(int(total)).cast("long")).withColumn("weight", _weight(F.col("_domain"), domain_weights, default_weight))
-    top = _share(level, [], "_domain").select("_domain", F.col("given").alias("budget"))
-    level = capped.groupBy("_domain", "_lang").agg(F.sum("capacity").alias("capacity")).join(top, "_domain").withColumn("weight", _weight(F.col("_lang"), lang_weights, default_weight))
-    middle = _share(level, ["_domain"], "_lang").select("_domain", "_lang", F.col("given").alias("budget"))
-    level = capped.join(middle, ["_domain", "_lang"]).withColumn("weight", _weight(F.col("_source"), source_weights, default_weight))
-    return _share(level, ["_domain", "_lang"], "_source").select(*LEAF, "tokens", F.col("given").alias("target"))
+    sources = leaves.withColumn("capacity", F.col("tokens") * max_epochs).withColumn("weight", _weight(F.col("_source"), source_weights, default_weight))
+    langs = sources.groupBy("_domain", "_lang").agg(_usable().alias("capacity")).withColumn("weight", _weight(F.col("_lang"), lang_weights, default_weight))
+    domains = langs.groupBy("_domain").agg(_usable().alias("capacity")).withColumn("weight", _weight(F.col("_domain"), domain_weights, default_weight))
+    top = _share(domains.withColumn("budget", F.lit(int(total)).cast("long")), [], "_domain").select("_domain", F.col("given").alias("budget"))
+    middle = _share(langs.join(top, "_domain"), ["_domain"], "_lang").select("_domain", "_lang", F.col("given").alias("budget"))
+    return _share(sources.join(middle, ["_domain", "_lang"]), ["_domain", "_lang"], "_source").select(*LEAF, "tokens", F.col("given").alias("target"))
 
 
 def _place(seed: int, epoch: Column, key: Column) -> Column:
@@ -106,10 +115,13 @@ def mix_sources(docs: DataFrame, domain: Column, lang: Column | None = None, sou
     step = Window.partitionBy(*LEAF).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = rows.withColumn("upto", F.col("taken") + F.sum("sum").over(step)).where("upto > rest").groupBy(*LEAF).agg(F.min("place").alias("stop"))
     # every place below ``stop`` is in the partial epoch
-    ends = plan.join(last, LEAF, "left").select(*LEAF, "whole", "rest", "stop")
-    kept = docs.drop("domain", "n_tokens", "epoch")
-    tagged = kept.select("*", *named, word_count(F.col(text_col)).alias("n_tokens")).join(F.broadcast(ends) if few else ends, LEAF)
-    partial = (F.col("rest") > 0) & (F.col("stop").isNull() | (_place(seed, F.col("whole"), F.col(id_col)) < F.col("stop")))
-    count = F.col("whole") + F.when(partial, 1).otherwise(0)
-    used = tagged.withColumn("_n", count).where("_n > 0")
-    return used.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).select(*kept.columns, F.col("_domain").alias("domain"), "n_tokens", "epoch")
+    kept = [f"`{c}`" for c in docs.drop("domain", "n_tokens", "epoch").columns]
+    # names of our own that no column of the input has
+    mark = "_" * (2 + max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0))
+    own = [f"{mark}{c}" for c in LEAF]
+    ends = plan.join(last, LEAF, "left").select(*[F.col(c).alias(n) for c, n in zip(LEAF, own, strict=True)], F.struct("whole", "rest", "stop").alias(f"{mark}end"))
+    tagged = docs.select(*kept, *[c.alias(n) for c, n in zip(named, own, strict=True)], word_count(F.col(text_col)).alias("n_tokens")).join(F.broadcast(ends) if few else ends, own)
+    end = F.col(f"{mark}end")
+    partial = (end.rest > 0) & (end.stop.isNull() | (_place(seed, end.whole, F.col(id_col)) < end.stop))
+    used = tagged.withColumn(f"{mark}n", end.whole + F.when(partial, 1).otherwise(0)).where(F.col(f"{mark}n") > 0)
+    return used.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{mark}n") - 1))).select(*kept, F.col(own[0]).alias("domain"), "n_tokens", "epoch")
