@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm.mixing import budgets, mix_sources, number_domain
-from quern.llm.sharding import ShardStore, shard
+from quern.llm.sharding import Conflict, ShardStore, shard
 
 DOCS = "doc_id long, text string, lang string, source string, path string, epoch int"
 
@@ -39,6 +39,37 @@ def test_budgets(spark):
     assert got == want and top == {"a": 290, "b": 310}
 
 
+def test_budget_past_a_weight_of_nothing(spark):
+    """What a child of weight 0 holds is no capacity of its parent; the budget goes to the others."""
+    leaves = spark.createDataFrame([("a", "en", "s1", 100), ("a", "xx", "s2", 10_000), ("b", "en", "s3", 1_000)], "_domain string, _lang string, _source string, tokens long")
+    got = {(r._domain, r._source): r.target for r in budgets(leaves, 900, None, {"xx": 0}, None, 100, 1).collect()}
+    assert got == {("a", "s1"): 100, ("a", "s2"): 0, ("b", "s3"): 800}
+
+
+def test_budgets_of_large_numbers(spark):
+    leaves = spark.createDataFrame([("a", "en", f"s{k}", 17_000_000_000 + k) for k in range(1000)], "_domain string, _lang string, _source string, tokens long")
+    got = budgets(leaves, 10**13, None, None, None, 1_000_000, 4).agg(F.sum("target"), F.max("target")).first()
+    assert 10**13 - 1000 <= got[0] <= 10**13 and got[1] == 10**10
+
+
+def test_mixing_beside_clashing_columns(spark):
+    names = ["rest", "whole", "stop", "_domain", "_lang", "_source", "_n", "__n", "place", "range", "a.b", "epoch", "n_tokens"]
+    rows = [(i, f"{'w ' * (i % 9)}", "en", f"src{i % 3}", *[f"v{i}"] * len(names)) for i in range(120)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *names])
+    got = mix_sources(docs, number_domain(F.col("source")), budget_share=0.5)
+    assert got.columns == ["doc_id", "text", "lang", "source", *names[:-2], "domain", "n_tokens", "epoch"]
+    assert all(r.rest == f"v{r.doc_id}" for r in got.collect()) and got.count() > 0
+    plain = mix_sources(docs.select("doc_id", "text", "lang", "source"), number_domain(F.col("source")), budget_share=0.5)
+    assert sorted(map(str, got.select("doc_id", "epoch").collect())) == sorted(map(str, plain.select("doc_id", "epoch").collect()))
+
+
+def test_mixing_ties_at_the_cut(spark):
+    """Rows of one id have one place: all of them are in the partial epoch, or none."""
+    rows = [(i // 4, "w w w", "en", "src1", "p", 1) for i in range(400)]
+    got = mix_sources(spark.createDataFrame(rows, DOCS), number_domain(F.col("source")), budget_share=0.37).groupBy("doc_id").count().collect()
+    assert {r["count"] for r in got} == {4} and len(got) == 37
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 7), "en" if i % 2 else None, f"src{i % 5}", "p", 9) for i in range(300)] + [(1, "w w", "en", None, None, None)] * 2 + [(400, None, "en", "src1", "p", 1)]
     docs = spark.createDataFrame(rows, DOCS)
@@ -79,6 +110,43 @@ def test_commits_do_not_overwrite(spark, tmp_path):
     assert one.version() == 2 and one.read().count() == 1
 
 
+def test_two_writers(spark, tmp_path):
+    """One that looked before another's commit loses its number, not its rows; readers of the version before can finish."""
+    docs = spark.createDataFrame([(k, f"t{k}", "en", "s", "p", 1) for k in range(20)], DOCS)
+    one, two = (ShardStore(spark, str(tmp_path / "s"), docs.schema, fanout=2) for _ in range(2))
+    one.append(docs.where("doc_id < 10"))
+    stale = two._listed(two._write(docs.where("doc_id >= 10")), 1)
+    with pytest.raises(Conflict):
+        two._commit(stale, 0)
+    old = one.read(1)
+    two.append(docs.where("doc_id >= 10"))
+    one.compact()
+    one.vacuum()
+    assert old.count() == 10 and one.read().count() == 20 and one.version() >= 3
+    one.vacuum(0)
+    assert one.versions() == [one.version()] and one.read().count() == 20
+    assert len(one._files("shards")) == 1
+
+
+def test_an_append_takes_the_next_number(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a", "en", "s", "p", 1)], DOCS)
+    one = ShardStore(spark, str(tmp_path / "s"), docs.schema)
+    stale, true = [0], one.version
+    one.version = lambda: stale.pop() if stale else true()
+    ShardStore(spark, str(tmp_path / "s"), docs.schema).append(docs)
+    assert one.append(docs) == 2 and one.read().count() == 2
+
+
+def test_shards_keep_clashing_columns_and_long_texts(spark):
+    rows = [(1, "x " * 1_000_000, "mine", 7, "b"), (2, None, None, None, None), (2, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, tier int, _metadata string")
+    store = shard(docs, arrivals=2)
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, docs.collect()))
+    got = store.read(shard_col="shard").collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 2] and all(r.shard.endswith(".parquet") for r in got)
+    assert {len(r.text or "") for r in got} == {2_000_000, 0}
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
