@@ -11,13 +11,14 @@ different ones, or the hit that breaks this is dropped.  A document is contamina
 if the windows left on a diagonal cover ``coverage`` of the item's tokens.
 
 The benchmark's windows go to all executors only if there are at most ``most_broadcast`` of
-them; beyond, document windows meet them in a shuffle join.  Nothing depends on the number of
+them; beyond, windows of the distinct texts meet them in a shuffle join, with the same result.  Nothing depends on the number of
 documents: each is judged by itself.
 
 Defined results: null or empty texts and items have no windows; an item shorter than a window
 is one window of its whole length, and needs ``least_literal`` words that are no placeholders
-like any other; rows that repeat an id are judged alone; an empty benchmark contaminates
-nothing; columns of the documents pass through, save those named as the results.
+like any other; rows that repeat an id are judged alone; so are items that repeat an item id
+(with another text; equal rows are one item), and an item id may be null; an empty benchmark
+contaminates nothing; columns of the documents pass through, save those named as the results.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from .near_dedup import slices
+from .state import cut
 from .tokens import LOWER, Tokens, hash_slices, join_hash, mix, rolling, tokenize
 
 U = np.uint64
@@ -105,7 +107,7 @@ def template(col: pa.Array | pa.ChunkedArray) -> Template:
 class Items:
     """The benchmark: its windows sorted by hash, and the tokens of all items."""
 
-    ids: np.ndarray
+    ids: list
     first: np.ndarray
     value: np.ndarray
     slot: np.ndarray
@@ -161,8 +163,7 @@ def index_items(table: pa.Table, window: int, least_literal: int) -> Items:
     o = np.argsort(h, kind="stable")
     h, p = h[o], p[o]
     item = t.tokens.doc[p] if len(p) else p
-    ids = table["item_id"].to_numpy(zero_copy_only=False)
-    return Items(ids, t.tokens.first, t.value, t.slot, sizes, h, item, p - t.tokens.first[item] if len(p) else p, np.minimum(n, window)[item] if len(p) else p)
+    return Items(table["item_id"].to_pylist(), t.tokens.first, t.value, t.slot, sizes, h, item, p - t.tokens.first[item] if len(p) else p, np.minimum(n, window)[item] if len(p) else p)
 
 
 def align(doc: np.ndarray, pos: np.ndarray, item: np.ndarray, at: np.ndarray, size: np.ndarray, slots, length: np.ndarray) -> list[tuple[int, int, float, bool]]:
@@ -231,16 +232,16 @@ def judge(col: pa.ChunkedArray, items: Items, least_literal: int, coverage: floa
 
     for d, i, share, changed in align(*(np.concatenate(v) for v in (doc, pos, item, at, size)), slots, length):
         if share >= coverage:
-            rows[d].append({"item_id": None if items.ids[i] is None else int(items.ids[i]), "coverage": share, "changed": changed})
+            rows[d].append({"item_id": items.ids[i], "coverage": share, "changed": changed})
     for r in rows:
-        r.sort(key=lambda x: (x["item_id"] is None, x["item_id"]))
+        r.sort(key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["coverage"], x["changed"]))
     return rows
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 8, least_literal: int = 5, coverage: float = 0.5, most_broadcast: int = 2_000_000) -> DataFrame:
     """``docs`` with ``found`` (items, each with its covered share and whether slots differ) and ``contaminated``."""
     spark = docs.sparkSession
-    bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
+    bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).distinct()
     words = bench.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     kept = [c for c in docs.columns if c not in ("found", "contaminated")]
     source = docs.select(*kept)
@@ -256,56 +257,65 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         out = source.mapInArrow(run, schema)
     else:
-        out = _by_shuffle(source, bench, text_col, window, least_literal, coverage)
+        out = _by_shuffle(source, cut(bench), text_col, window, least_literal, coverage)
     return out.withColumn("contaminated", F.size("found") > 0)
 
 
-def _exploded(key: str, window: int, least_literal: int, whole_only: bool):
-    """Rows of windows: hash, key, place, number of tokens, slot values."""
+SLOTS = pa.list_(pa.struct([("k", pa.int32()), ("v", pa.int64())]))
+WINDOWS = "h long, {}, pos long, size int, length long, slots array<struct<k: int, v: long>>"
+
+
+def _exploded(keys: list[str], sizes: list[int], window: int, least_literal: int, indexed: bool):
+    """Rows of windows of these sizes: hash, keys, place, number of tokens, slots with their values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             t = template(part["text"])
             n = t.tokens.counts
-            keys = part[key].combine_chunks()
-            for s in range(1, window + 1):
-                for exact, (at, h) in enumerate(both_windows(t, s, least_literal, whole_only)):
-                    if whole_only:
-                        at_fit = np.minimum(n[t.tokens.doc[at]], window) == s if len(at) else np.zeros(0, bool)
-                        at, h = at[at_fit], h[at_fit]
+            for s in sizes:
+                for exact, (at, h) in enumerate(both_windows(t, s, least_literal, indexed)):
+                    if indexed and len(at):
+                        fit = np.minimum(n[t.tokens.doc[at]], window) == s
+                        at, h = at[fit], h[fit]
                     if not len(at):
                         continue
                     doc = t.tokens.doc[at]
                     grid = at[:, None] + np.arange(s)
-                    slot = t.slot[grid] & (whole_only or not exact)  # an exact window of a text has the values of the item's
-                    values = [[[k, int(np.int64(v))] for k, v in zip(np.flatnonzero(m).tolist(), w[m].view(np.int64), strict=True)] if m.any() else [] for m, w in zip(slot, t.value[grid], strict=True)]
-                    yield from pa.table({"h": pa.array(h.view(np.int64)), key: keys.take(pa.array(doc)), "pos": pa.array(at - t.tokens.first[doc]), "size": pa.array(np.full(len(at), s), pa.int32()), "length": pa.array(n[doc], pa.int64()), "slots": pa.array(values, pa.list_(pa.list_(pa.int64())))}).to_batches()
+                    slot = t.slot[grid] & (indexed or not exact)  # an exact window of a text has the values of the item's
+                    offset = np.concatenate([[0], np.cumsum(slot.sum(axis=1))]).astype(np.int32)
+                    held = pa.StructArray.from_arrays([pa.array(np.nonzero(slot)[1].astype(np.int32)), pa.array(t.value[grid][slot].view(np.int64))], fields=list(SLOTS.value_type))
+                    own = {k: part[k].combine_chunks().take(pa.array(doc)) for k in keys}
+                    yield from pa.table({"h": pa.array(h.view(np.int64)), **own, "pos": pa.array(at - t.tokens.first[doc]), "size": pa.array(np.full(len(at), s, np.int32)), "length": pa.array(n[doc], pa.int64()), "slots": pa.ListArray.from_arrays(pa.array(offset), held)}).to_batches()
 
     return run
 
 
 def _by_shuffle(source: DataFrame, bench: DataFrame, text_col: str, window: int, least_literal: int, coverage: float) -> DataFrame:
-    """The same result for a benchmark of any size: windows of both sides meet in a shuffle join."""
-    keyed = source.withColumn("_row", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in source.columns])), 256))
-    shape = "h long, {} {}, pos long, size int, length long, slots array<array<long>>"
-    items = bench.mapInArrow(_exploded("item_id", window, least_literal, True), shape.format("item_id", "long"))
-    texts = keyed.select("_row", F.col(text_col).alias("text")).dropDuplicates(["_row"])
-    probes = texts.mapInArrow(_exploded("_row", window, least_literal, False), shape.format("_row", "string"))
-    hits = probes.selectExpr("h", "size", "_row", "pos", "slots AS doc_slots").join(items.selectExpr("h", "size", "item_id", "pos AS at", "length", "slots AS item_slots"), ["h", "size"])
+    """The same result for a benchmark of any size: windows of both sides meet in a shuffle join, those of equal texts once."""
+    mark = "_" * (2 + max((len(c) - len(c.lstrip("_")) for c in source.columns), default=0)) + "text"
+    keyed = source.withColumn(mark, F.sha2(F.col(text_col), 256))
+    texts = keyed.select(F.col(mark).alias("key"), F.col(text_col).alias("text")).where("key IS NOT NULL").dropDuplicates(["key"])
+    items = bench.withColumn("item", F.sha2("text", 256)).where("item IS NOT NULL")
+    counted = items.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"size": pa.array(np.unique(np.minimum(template(b["text"]).tokens.counts, window)), pa.int64())}) for b in batches), "size long")
+    sizes = sorted(r.size for r in counted.where("size > 0").distinct().collect())  # at most ``window`` of them
+    probes = texts.mapInArrow(_exploded(["key"], sizes, window, least_literal, False), WINDOWS.format("key string"))
+    indexed = items.mapInArrow(_exploded(["item_id", "item"], sizes, window, least_literal, True), WINDOWS.format("item_id long, item string"))
+    hits = probes.selectExpr("h", "size", "key", "pos", "slots AS doc_slots").join(indexed.selectExpr("h", "size", "item_id", "item", "pos AS at", "length", "slots AS item_slots"), ["h", "size"])
 
     def verify(part: pa.Table) -> pa.Table:
         rows = part.to_pylist()
         pair = {}
         for r in rows:
-            own = dict(r["doc_slots"])
-            for k, x in r["item_slots"]:
-                pair[r["pos"] - r["at"], r["at"] + k] = x, own.get(k, x)
+            own = {x["k"]: x["v"] for x in r["doc_slots"]}
+            for x in r["item_slots"]:
+                pair[r["pos"] - r["at"], r["at"] + x["k"]] = x["v"], own.get(x["k"], x["v"])
         arr = lambda c: np.array([r[c] for r in rows], np.int64)
         zero = np.zeros(len(rows), np.int64)
         best = align(zero, arr("pos"), zero, arr("at"), arr("size"), lambda d, i, g, a, b: [pair[g, k] for k in range(a, b) if (g, k) in pair], np.array([rows[0]["length"]]))
         good = [(s, c) for _, _, s, c in best if s >= coverage]
-        return pa.table({"_row": pa.array([rows[0]["_row"]] * len(good), pa.string()), "item_id": pa.array([rows[0]["item_id"]] * len(good), pa.int64()), "coverage": pa.array([s for s, _ in good], pa.float64()), "changed": pa.array([c for _, c in good], pa.bool_())})
+        return pa.table({"key": pa.array([rows[0]["key"]] * len(good), pa.string()), "item_id": pa.array([rows[0]["item_id"]] * len(good), pa.int64()), "coverage": pa.array([s for s, _ in good], pa.float64()), "changed": pa.array([c for _, c in good], pa.bool_())})
 
-    good = hits.groupBy("_row", "item_id").applyInArrow(verify, "_row string, item_id long, coverage double, changed boolean")
-    found = good.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("item_id", "coverage", "changed"))).alias("found"))
-    return keyed.join(found, "_row", "left").drop("_row").withColumn("found", F.coalesce("found", F.array().cast(FOUND)))
+    good = hits.groupBy("key", "item_id", "item").applyInArrow(verify, "key string, item_id long, coverage double, changed boolean")
+    listed = F.array_sort(F.collect_list(F.struct(F.col("item_id").isNull().alias("none"), F.coalesce("item_id", F.lit(0)).alias("by"), "coverage", "changed", "item_id")))
+    found = good.groupBy(F.col("key").alias(mark)).agg(F.transform(listed, lambda x: F.struct(x["item_id"].alias("item_id"), x["coverage"].alias("coverage"), x["changed"].alias("changed"))).alias("found"))
+    return keyed.join(found, mark, "left").select(*[f"`{c}`" for c in source.columns], F.coalesce("found", F.array().cast(FOUND)).alias("found"))
