@@ -359,7 +359,8 @@ def _across(size: int, num: int, den: int):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (80, 100), bands: int = 18, rows: int = 3, keep_share: float = 0.5, hot_rows: int = 20_000, cell_rows: int = 60_000, cluster_bytes: int = 16 << 20, cell_bytes: int = 4 << 20) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (the smallest id that
-    links reach), kept (the row has that smallest id)."""
+    links reach), kept (the row has that smallest id); text_hash and component, a number of its
+    own for each component, null without shingles."""
     num, den = similarity
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tid", F.xxhash64("text"))
     signed = cut(own.mapInArrow(_signatures(shingle, bands, rows), "doc_id long, tid long, n_bytes long, sid long, n_shingles long, keys array<long>, sig binary"))
@@ -402,11 +403,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp = _join_blocks(found.join(split, "cluster"), found, members, own, shingle, num, den)
 
     # back to documents
-    label = signed.select("doc_id", "sid", "n_shingles").join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    label = signed.select("doc_id", "tid", "sid", "n_shingles").join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = label.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = label.join(least, "comp", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.col("least"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    own_group = F.when(F.col("n_shingles") > 0, F.col("comp")).alias("component")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("tid").alias("text_hash"), own_group).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, and of the smallest text
+    hash where an id is repeated; of equal rows of one id and text, one.  Rows without shingles
+    (null, empty texts) or without an id all stay."""
+    found = cut(near_duplicates(docs, id_col, text_col, **limits).where("component IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", "text_hash", "component").count())
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("component", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    marked = found.join(first, "component").select("doc_id", "text_hash", "count", ((F.col("doc_id") != F.col("first_id")) | (F.col("text_hash") != F.col("first_hash"))).alias("lost"))
+    mark = "_" * (2 + max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0))
+    ident, kept = f"{mark}id", [f"`{c}`" for c in docs.columns]
+    keyed = docs.select(*kept, F.col(id_col).cast("long").alias(ident), F.xxhash64(F.col(text_col).cast("string")).alias(mark))
+    gone = cut(marked.where("lost OR count > 1").select(F.col("doc_id").alias(ident), F.col("text_hash").alias(mark), "lost"))
+    rest = keyed.join(gone.drop("lost"), [ident, mark], "left_anti").select(*kept)
+    twice = gone.where("NOT lost").drop("lost")
+    if twice.isEmpty():
+        return rest
+    return rest.union(keyed.join(twice, [ident, mark], "left_semi").dropDuplicates([ident, mark]).select(*kept))
 
 
 def _join_blocks(parts: DataFrame, found: DataFrame, members: DataFrame, own: DataFrame, shingle: int, num: int, den: int) -> DataFrame:

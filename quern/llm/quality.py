@@ -282,8 +282,9 @@ def train(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", tex
     code = seen["pattern"].to_numpy(zero_copy_only=False)
     patterns = (code[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1).astype(np.int8) if len(code) else np.zeros((0, len(LABELLERS)), np.int8)
     model = fit_label_model(patterns, seen["count"].to_numpy(zero_copy_only=False).astype(float))
-    chosen = own.orderBy(F.xxhash64(F.col("doc_id"), F.lit(23)), "doc_id").limit(train_rows)
-    chosen = marked.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").limit(train_rows)
+    # rows are drawn by id and text hash, so that ids which repeat add no more than their place
+    drawn = own.select("doc_id", F.xxhash64("text").alias("tid")).orderBy(F.xxhash64(F.col("doc_id"), F.lit(23)), "doc_id", "tid").limit(train_rows).distinct()
+    chosen = marked.withColumn("tid", F.xxhash64("text")).join(F.broadcast(drawn), ["doc_id", "tid"], "left_semi").dropDuplicates(["doc_id", "tid"])
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):

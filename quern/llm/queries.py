@@ -52,7 +52,8 @@ FROM d LEFT JOIN r USING (doc_id)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, similarity=(80, 100))
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=2, similarity=(80, 100))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP10_SQL = r"""

@@ -9,7 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm.near_dedup import near_duplicates
+from quern.llm.near_dedup import drop_near_duplicates, near_duplicates
 from quern.llm.substring_dedup import remove_repeats
 
 SCHEMA = "doc_id long, text string, g int, bucket string, n_words long, text2 string"
@@ -140,6 +140,17 @@ def test_repeated_id_with_many_texts(spark):
     assert len(got) == 81 and {r.component_id for r in got} == {1}
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(3, a), (5, a + " tail"), (5, b), (5, b), (7, c), (7, c + " more"), (8, None), (8, None), (9, ""), (None, a), (10, "x"), (2, "y")]
+    frame = spark.createDataFrame([(i, t, "v") for i, t in rows], "doc_id long, text string, __id string")
+    got = drop_near_duplicates(frame, shingle=2).collect()
+    assert {r["__id"] for r in got} == {"v"}
+    kept = sorted((str(r.doc_id), str(r.text)[:3], len(r.text or "")) for r in got)
+    assert [k[:2] for k in kept] == sorted([("3", a[:3]), ("5", b[:3]), ("7", c[:3]), ("8", "Non"), ("8", "Non"), ("9", ""), ("None", a[:3]), ("10", "x"), ("2", "y")])
+    assert drop_near_duplicates(frame.limit(0), shingle=2).count() == 0
+
+
 def test_no_documents(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
