@@ -1,7 +1,12 @@
 """Corpus pipeline: classify, deduplicate, decontaminate, mix and shard ``documents``.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the
-next one's docs.  All but the last return the columns of ``documents``.
+next one's docs, after which the one before it is removed.  All but the last return the columns
+of ``documents``.
+
+Defined results: null and empty texts are rejected by the first stage, as are texts without
+words; rows that repeat an id are rows of their own, and of equal rows one stays; no text is too
+long for a stage; an empty table passes through as an empty one; other columns fall away.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.decontaminate import decontaminate
 from quern.llm.mixing import mix_sources, number_domain
-from quern.llm.near_dedup import near_duplicates
+from quern.llm.near_dedup import drop_near_duplicates
 from quern.llm.quality import classify, train
 from quern.llm.queries import MIX_DOMAINS, MIX_LANGS, bad_labels, table
 from quern.llm.sharding import shard
@@ -30,9 +35,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (5-word shingles, similarity 0.8) stays: the one with the smallest id."""
-    found = near_duplicates(docs)
-    dropped = found.where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    return drop_near_duplicates(docs.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,11 +65,14 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    files = spark._jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{k - 1}"), True)
     return docs
 
 
-#: The stages train, sign and hash beyond what SQL can state; tests hold them against brute force.
+#: The stages train, sign and hash beyond what SQL can state; tests/llm/test_pipeline.py holds each against a plain version.
 ORACLE_SQL = None
