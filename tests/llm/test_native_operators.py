@@ -1,4 +1,4 @@
-"""Sharding and mixing, and the pipeline's stages in a row."""
+"""Sharding and mixing."""
 
 from __future__ import annotations
 
@@ -145,16 +145,3 @@ def test_shards_keep_clashing_columns_and_long_texts(spark):
     got = store.read(shard_col="shard").collect()
     assert sorted(r.doc_id for r in got) == [1, 2, 2] and all(r.shard.endswith(".parquet") for r in got)
     assert {len(r.text or "") for r in got} == {2_000_000, 0}
-
-
-def test_pipeline(spark, sf):
-    import corpus_pipeline as p
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    labels = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1 AND toxic = 0").collect()}
-    kept = {r.doc_id for r in p.quality_stage(spark, docs, sf).collect()}
-    assert len(labels - kept) <= 0.1 * len(labels)
-    assert [n for n, _ in p.STAGES] == ["quality classifier", "near-duplicate removal", "benchmark decontamination", "source mixing", "sharding"]
-    out = p.run(spark, sf)
-    assert set(p.COLUMNS) <= set(out.columns) and 0 < out.count() <= docs.count()
-    assert {r.doc_id for r in out.collect()} <= kept
