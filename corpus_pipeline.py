@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir); its result is written as Parquet and rea
 next one's docs, after which the one before it is removed.  All but the last return the columns
 of ``documents``.
 
-Defined results: null and empty texts are rejected by the first stage, as are texts without
-words; rows that repeat an id are rows of their own, and of equal rows one stays; no text is too
+Defined results: the first stage judges null and empty texts as texts without words, all alike,
+and no other stage drops them for being so; rows that repeat an id are rows of their own, and of equal rows one stays; no text is too
 long for a stage; an empty table passes through as an empty one; other columns fall away.
 """
 
