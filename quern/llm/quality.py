@@ -6,14 +6,14 @@ that documents marked bad have and others do not; ``plain`` votes good where no
 even raised and no lexicon entry occurs; ``marked`` repeats a given label, where there is one.
 *Label model.*  The votes of all documents are counted by pattern (at most 3 to the number of
 labellers, whatever the corpus); expectation-maximisation over these counts estimates how
-often each labeller is right where it votes.  Saying nothing tells nothing, because the kinds
+often each labeller is right where it votes, from and towards its agreement with given labels.  Saying nothing tells nothing, because the kinds
 of bad documents exclude each other and most labellers are silent on most of them.
 *Scorer.*  Posterior labels of a bounded sample (``train_rows``, the smallest hashes of the
 id) train a linear model over hashed features -- word beginnings and binned statistics.  It
 scores every document; below ``threshold`` a document is rejected.
 
-Bounds: labelled rows read for the lexicon and training rows, ``train_rows`` each; the model
-has 2**bits weights and is sent to executors whole (2 MB).
+Bounds: ``label_rows`` labelled ids are read for the lexicon, where executors count, and
+``train_rows`` rows train the scorer, whose features meet on the driver; the model has 2**bits weights and is sent to executors whole (2 MB).
 
 Defined results: a null or empty text is scored as a text without words; a null id is scored
 like any other; repeated rows get equal scores; without labels the lexicon abstains; an empty
@@ -155,7 +155,7 @@ def votes(f: Features, lexicon: np.ndarray, marked: np.ndarray | None = None) ->
     return v
 
 
-def learn_lexicon(sample: DataFrame, least: int = 5, odds: float = 25.0, alone: float = 0.002) -> np.ndarray:
+def learn_lexicon(sample: DataFrame, least: int = 8, odds: float = 40.0, alone: float = 0.002) -> np.ndarray:
     """Hashes of word beginnings in ``least`` bad documents or more and ``odds`` times as common there; sample(text, known)."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +184,10 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + v @ weight, -50, 50)))
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.4, first: float = 0.9, strength: float = 20.0, rounds: int = 200) -> LabelModel:
-    """Expectation-maximisation over vote patterns, from ``first`` for all accuracies, which also stands for ``strength`` votes."""
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.4, first: float | np.ndarray = 0.9, strength: float | np.ndarray = 20.0, rounds: int = 200) -> LabelModel:
+    """Expectation-maximisation over vote patterns, from the accuracies ``first``, which also stand for ``strength`` votes of each labeller."""
     k = patterns.shape[1]
-    model = LabelModel(np.full(k, first), prior)
+    model = LabelModel(np.full(k, first, float), prior)
     for _ in range(rounds):
         bad = model.posterior(patterns)
         right = np.where(patterns == 1, bad[:, None], np.where(patterns == -1, 1 - bad[:, None], 0))
@@ -200,6 +200,16 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.4
     return model
 
 
+def anchors(patterns: np.ndarray, counts: np.ndarray, first: float = 0.9, strength: float = 20.0) -> tuple[np.ndarray, np.ndarray]:
+    """(accuracies, strengths) to begin with: each labeller's agreement with the given labels (the
+    last labeller), which count as much as all its votes.  Without it, a labeller that mostly
+    votes alone could only drift to a coin's toss."""
+    given = patterns[:, -1:] * patterns
+    right, voted = counts @ (given > 0), counts @ (given != 0)
+    right[-1:] = voted[-1:] = 0
+    return (right + first * strength) / (voted + strength), strength + counts @ (patterns != 0)
+
+
 def slots(f: Features, v: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) of the linear model: hashed beginnings, statistics in bins, and the votes of the labellers other than given labels."""
     bins = np.digitize(f.stats, np.array([0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.55, 0.8]))
@@ -266,14 +276,14 @@ def _vote_rows(lexicon: np.ndarray):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 8_000, bits: int = 18) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 8_000, label_rows: int = 40_000, bits: int = 18) -> QualityModel:
     """``labels``: doc_id, bad (boolean)."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = F.xxhash64(F.col("doc_id"), F.lit(11))
     lexicon = np.zeros(0, U)
     if labels is not None:
         known = labels.groupBy("doc_id").agg(F.max("bad").alias("known"))
-        drawn = known.orderBy(order).limit(train_rows)
+        drawn = known.orderBy(order, "doc_id").limit(label_rows)
         lexicon = learn_lexicon(own.join(F.broadcast(drawn), "doc_id").select("text", "known"))
         marked = own.join(F.broadcast(drawn), "doc_id", "left").select("doc_id", "text", F.when(F.col("known"), 1).when(~F.col("known"), -1).otherwise(0).alias("marked"))
     else:
@@ -281,7 +291,9 @@ def train(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", tex
     seen = marked.select("text", "marked").mapInArrow(_vote_rows(lexicon), "pattern long").groupBy("pattern").count().toArrow()
     code = seen["pattern"].to_numpy(zero_copy_only=False)
     patterns = (code[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1).astype(np.int8) if len(code) else np.zeros((0, len(LABELLERS)), np.int8)
-    model = fit_label_model(patterns, seen["count"].to_numpy(zero_copy_only=False).astype(float))
+    often = seen["count"].to_numpy(zero_copy_only=False).astype(float)
+    first, strength = anchors(patterns, often)
+    model = fit_label_model(patterns, often, first=first, strength=strength)
     # rows are drawn by id and text hash, so that ids which repeat add no more than their place
     drawn = own.select("doc_id", F.xxhash64("text").alias("tid")).orderBy(F.xxhash64(F.col("doc_id"), F.lit(23)), "doc_id", "tid").limit(train_rows).distinct()
     chosen = marked.withColumn("tid", F.xxhash64("text")).join(F.broadcast(drawn), ["doc_id", "tid"], "left_semi").dropDuplicates(["doc_id", "tid"])
