@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.checkpoints import cut
 from quern.config import Config
 from quern.functions.text import is_noise
-from quern.operators.retrieval import postings, term_stats
+from quern.operators.retrieval import Index, postings, term_bucket
 
 
 def new_rows(stored: DataFrame, arriving: DataFrame, key: str = "chunk_id", order: str | None = None) -> DataFrame:
@@ -53,22 +54,30 @@ def augmented(base: DataFrame, extra: DataFrame, name: str = "augmented") -> Dat
 
 
 # --- BM25 artefacts ---
-def save_bm25(docs: DataFrame, path: str, cfg: Config | None = None, stemmed: bool = True) -> None:
-    """Writes postings (partitioned files by hash of term), term statistics and a stamp.
-
-    The stamp is written last: without it the artefact counts as missing."""
-    cfg = cfg or Config()
+def write_index(docs: DataFrame, path: str, cfg: Config, stemmed: bool, rows_a_bucket: int = 4_000_000) -> None:
+    """Postings, term statistics and the stamp of a corpus that is stored elsewhere."""
     spark = docs.sparkSession
-    posted = postings(docs, stemmed=stemmed)
-    posted.write.mode("overwrite").parquet(f"{path}/postings")
-    posted = spark.read.parquet(f"{path}/postings")
-    n = docs.count()
-    term_stats(posted, n, cfg.epsilon).write.mode("overwrite").parquet(f"{path}/term_stats")
-    docs.write.mode("overwrite").parquet(f"{path}/corpus")
-    stamp = {"tokenizer": cfg.tokenizer_version, "n_docs": n, "stemmed": stemmed}
+    stamp_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_meta")
+    stamp_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(stamp_path, True)
+    posted = cut(postings(docs, stemmed=stemmed))
+    n, size = docs.count(), posted.count()
+    buckets = max(1, min(4096, size // rows_a_bucket))
+    keyed = posted.withColumn("bucket", term_bucket(buckets))
+    keyed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    index = Index.of(posted, n, cfg, stemmed)
+    index.terms.write.mode("overwrite").parquet(f"{path}/term_stats")
+    stamp = {"tokenizer": cfg.tokenizer_version, "n_docs": n, "stemmed": stemmed, "avgdl": index.avgdl, "buckets": buckets}
     spark.createDataFrame([(json.dumps(stamp),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_meta")
 
 
+def save_bm25(docs: DataFrame, path: str, cfg: Config | None = None, stemmed: bool = True, rows_a_bucket: int = 4_000_000) -> None:
+    """Writes the corpus, postings (a folder for each bucket of terms, sorted by term), term statistics and a stamp.
+
+    The stamp goes first and is written last: without it the artefact counts as missing."""
+    docs.write.mode("overwrite").parquet(f"{path}/corpus")
+    write_index(docs.sparkSession.read.parquet(f"{path}/corpus"), path, cfg or Config(), stemmed, rows_a_bucket)
+
+
 def read_stamp(spark: SparkSession, path: str) -> dict:
     """The stamp, or none: an artefact without one is of the first tokenizer."""
     from pyspark.errors import AnalysisException
@@ -79,17 +88,21 @@ def read_stamp(spark: SparkSession, path: str) -> dict:
         return {"tokenizer": "1-split", "n_docs": None, "stemmed": False}
 
 
-def load_bm25(spark: SparkSession, path: str, cfg: Config | None = None) -> tuple[DataFrame, DataFrame, int, bool]:
-    """(postings, term statistics, documents, whether it was rebuilt). A stamp of another tokenizer rebuilds from the stored corpus and is persisted."""
+def open_bm25(spark: SparkSession, path: str, cfg: Config | None = None) -> tuple[Index, bool]:
+    """(index, whether it was rebuilt). A stamp of another tokenizer, or none, rebuilds all but the stored corpus."""
     cfg = cfg or Config()
     stamp = read_stamp(spark, path)
-    rebuilt = stamp["tokenizer"] != cfg.tokenizer_version
+    rebuilt = stamp["tokenizer"] != cfg.tokenizer_version or "buckets" not in stamp
     if rebuilt:
-        corpus = spark.read.parquet(f"{path}/corpus")
-        kept = spark.createDataFrame(corpus.toArrow()) if corpus.count() < 1000 else corpus.checkpoint()
-        save_bm25(kept, path, cfg)
+        write_index(spark.read.parquet(f"{path}/corpus"), path, cfg, True)
         stamp = read_stamp(spark, path)
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/term_stats"), stamp["n_docs"], rebuilt
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/term_stats"), stamp["n_docs"], stamp["avgdl"], stamp["stemmed"], stamp["buckets"]), rebuilt
+
+
+def load_bm25(spark: SparkSession, path: str, cfg: Config | None = None) -> tuple[DataFrame, DataFrame, int, bool]:
+    """(postings, term statistics, documents, whether it was rebuilt)."""
+    index, rebuilt = open_bm25(spark, path, cfg)
+    return index.postings.drop("bucket"), index.terms, index.n, rebuilt
 
 
 def write_guarded(rows: DataFrame, path: str, size: int, limited: bool = False, force: bool = False) -> str:

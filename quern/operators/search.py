@@ -98,6 +98,28 @@ def prompts(queries: DataFrame, hits: DataFrame, cfg: Config | None = None) -> D
     return joined.select("query_id", fixed.alias("answer"), F.when(fixed.isNull(), text).alias("prompt"))
 
 
+def containing(docs: DataFrame, needles: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query_id, needle, doc_id, text) of each document that holds a needle(query_id, needle).
+
+    A word between two spaces of the needle must be a word between spaces or ends of the text, so
+    the longest such word of each needle is met by equality first; needles without one, which
+    have no more than two words, are compared with every text in blocks."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    parts = F.split("needle", " ")
+    inner = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = needles.where("needle <> ''").select("query_id", "needle", longest.alias("anchor"))
+    anchored = asked.where("anchor IS NOT NULL")
+    words = own.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("anchor"))
+    met = r.cut(words.join(r.small(anchored.select("query_id", "anchor")), "anchor").select("query_id", "doc_id").distinct())
+    found = own.join(r.small(met), "doc_id").join(r.small(anchored.drop("anchor")), "query_id")
+    short = asked.where("anchor IS NULL").drop("anchor")
+    every = found.select("query_id", "needle", "doc_id", "text").where(F.contains("text", "needle"))
+    if short.isEmpty():
+        return every
+    return every.union(own.join(r.small(short), F.contains(F.col("text"), F.col("needle"))).select("query_id", "needle", "doc_id", "text"))
+
+
 def determinism(first: DataFrame, second: DataFrame) -> DataFrame:
     """Rows that two runs do not share; none if they agree."""
     return first.exceptAll(second).union(second.exceptAll(first))

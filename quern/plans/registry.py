@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.checkpoints import checkpoint_dir, cut
 from quern.config import Config
 from quern.functions import text as tx
-from quern.operators import answers, chunking, geometry, maintenance, measurements, metrics, retrieval
+from quern.operators import answers, chunking, geometry, maintenance, measurements, metrics, retrieval, search
 from quern.plans import oracle
 from quern.sources import corpora
 
@@ -32,9 +34,24 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def _index(spark: SparkSession, d: str, stemmed: bool = False) -> retrieval.Index:
+    """The stored index of the documents, written once in a session for these very files."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    key = (spark.sparkContext.applicationId, d, stemmed, *((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    if key not in _STORED:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/bm25-{uuid.uuid4().hex}"
+        maintenance.write_index(_docs(spark, d), path, Config(), stemmed)
+        _STORED[key] = path
+    return maintenance.open_bm25(spark, _STORED[key])[0]
+
+
 def _sparse(spark: SparkSession, d: str, k: int = 8, queries: DataFrame | None = None) -> DataFrame:
-    docs = _docs(spark, d)
-    return retrieval.bm25_topk(queries if queries is not None else _queries(spark, d), retrieval.postings(docs), docs.count(), k)
+    return retrieval.bm25_topk(queries if queries is not None else _queries(spark, d), _index(spark, d), k=k)
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -54,9 +71,10 @@ def _every_50th(spark: SparkSession, d: str) -> DataFrame:
 
 def _qrels(spark: SparkSession, d: str) -> DataFrame:
     """Grade 2: the document holds the item's first 80 characters; 1: its first 24."""
-    items = retrieval.small(_queries(spark, d).where("length(text) > 0").withColumnRenamed("text", "item"))
-    met = _docs(spark, d).join(items, F.contains(F.col("text"), F.substring("item", 1, 24)))
-    return met.select("query_id", "doc_id", F.when(F.contains(F.col("text"), F.substring("item", 1, 80)), 2).otherwise(1).alias("rel"))
+    asked = _queries(spark, d)
+    met = search.containing(_docs(spark, d), asked.select("query_id", F.substring("text", 1, 24).alias("needle")))
+    whole = retrieval.small(asked.select("query_id", F.substring("text", 1, 80).alias("whole")))
+    return cut(met.join(whole, "query_id").select("query_id", "doc_id", F.when(F.contains("text", "whole"), 2).otherwise(1).alias("rel")))
 
 
 def _cases(spark: SparkSession, d: str) -> DataFrame:
@@ -82,8 +100,7 @@ def doc_tokens_stats(s, d):
 
 
 def bm25_term_stats(s, d):
-    docs = _docs(s, d)
-    return retrieval.term_stats(retrieval.postings(docs), docs.count()).select("term", "df", _r("idf"))
+    return _index(s, d).terms.select("term", "df", _r("idf"))
 
 
 def bm25_topk(s, d):
@@ -367,8 +384,7 @@ def lsh_topk(s, d):
 
 
 def stemmed_bm25(s, d):
-    docs = _docs(s, d)
-    return retrieval.bm25_topk(_queries(s, d), retrieval.postings(docs, stemmed=True), docs.count(), stemmed=True).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", _r("score"))
+    return retrieval.bm25_topk(_queries(s, d), _index(s, d, stemmed=True)).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", _r("score"))
 
 
 def nfkd_clean(s, d):

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from quern.functions.text import STOPWORDS
-from quern.operators import geometry, maintenance, measurements, metrics, retrieval
+from quern.operators import geometry, maintenance, measurements, metrics, retrieval, search
 from quern.sources import corpora
 
 DOCS = [(0, "cat sat mat"), (1, "cat cat dog"), (2, "bird sings"), (3, None), (4, "")]
@@ -59,6 +59,26 @@ def test_rrf_of_a_list_with_itself_keeps_its_order(spark):
     assert [r.doc_id for r in retrieval.hybrid_rrf(a, a).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
 
 
+def test_equal_vectors_go_by_id(spark):
+    """Of copies in any number of batches and tasks the smallest ids win; string ids, too."""
+    rows = [(i, [1.0, 0.0] if i % 3 else [0.6, 0.8]) for i in range(12_000, 0, -1)]
+    for kind in ("long", "string"):
+        v = spark.createDataFrame(rows, "vec_id long, vector array<float>").withColumn("vec_id", F.col("vec_id").cast(kind)).repartition(3)
+        q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<float>")
+        got = [r.vec_id for r in retrieval.dense_topk(q, v, 8).orderBy("rank").collect()]
+        want = sorted((i if kind == "long" else str(i)) for i, x in rows if x[0] == 1)[:8]
+        assert got == want
+
+
+def test_containing_is_contains(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    some = [r.text for r in docs.where("length(text) > 200").limit(40).collect()]
+    needles = [(i, t[7 * (i % 9) : 7 * (i % 9) + 5 + i]) for i, t in enumerate(some)] + [(100, ""), (101, None), (102, "the"), (103, some[0][:40] + "x")]
+    asked = spark.createDataFrame(needles, "query_id long, needle string")
+    got = sorted((r.query_id, r.doc_id) for r in search.containing(docs, asked).collect())
+    assert got == sorted((i, r.doc_id) for r in docs.collect() for i, n in needles if n and n in (r.text or ""))
+
+
 def test_dense_and_lsh(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
     q = v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
