@@ -1,31 +1,13 @@
-"""Lineage cuts in the shared checkpoint folder, and connected components over edge tables."""
+"""Connected components over edge tables (and the lineage cuts that the operators use)."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.checkpoints import checkpoint_dir, cut
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a folder of our own only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quern-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    where = checkpoint_dir(spark)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpoint_dir", "components", "cut"]
 
 
 def _digest(edges: DataFrame) -> tuple:
