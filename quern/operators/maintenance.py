@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.checkpoints import cut
 from quern.config import Config
 from quern.functions.text import is_noise
 from quern.operators.retrieval import Index, postings, term_bucket
@@ -54,17 +53,21 @@ def augmented(base: DataFrame, extra: DataFrame, name: str = "augmented") -> Dat
 
 
 # --- BM25 artefacts ---
+#: About so many bytes of text make a posting.
+BYTES_A_POSTING = 8
+
+
 def write_index(docs: DataFrame, path: str, cfg: Config, stemmed: bool, rows_a_bucket: int = 4_000_000) -> None:
     """Postings, term statistics and the stamp of a corpus that is stored elsewhere."""
     spark = docs.sparkSession
     stamp_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_meta")
     stamp_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(stamp_path, True)
-    posted = cut(postings(docs, stemmed=stemmed))
-    n, size = docs.count(), posted.count()
-    buckets = max(1, min(4096, size // rows_a_bucket))
-    keyed = posted.withColumn("bucket", term_bucket(buckets))
-    keyed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    index = Index.of(posted, n, cfg, stemmed)
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    buckets = max(1, min(4096, size // BYTES_A_POSTING // rows_a_bucket))
+    keyed = postings(docs, stemmed=stemmed).withColumn("bucket", term_bucket(buckets))
+    spread = keyed.repartition(buckets, "bucket") if buckets > 1 else keyed
+    spread.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    index = Index.of(spark.read.parquet(f"{path}/postings"), n, cfg, stemmed)
     index.terms.write.mode("overwrite").parquet(f"{path}/term_stats")
     stamp = {"tokenizer": cfg.tokenizer_version, "n_docs": n, "stemmed": stemmed, "avgdl": index.avgdl, "buckets": buckets}
     spark.createDataFrame([(json.dumps(stamp),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_meta")
