@@ -2,16 +2,19 @@
 
 The patterns (assignments to secret-like names, access key ids, long hexadecimal runs) give
 the base spans.  The field tags every word as beginning, inside or outside of a secret, from
-its shape, the words and shapes around it and features of the whole file.  It is trained by
-conditional likelihood (forward-backward, adaptive gradient steps) on the base spans of a
+its shape, the words and shapes around it and features of the whole file (its length, how
+unlike prose it is, its share of assignments, how many long mixed words it has).  It is trained
+by conditional likelihood (forward-backward, adaptive gradient steps) on the base spans of a
 bounded sample, ``train_docs`` documents, and decoded by Viterbi; spans it tags that touch no
-base span are added with the kind ``field``.
+base span are added with the kind ``field``.  So that it learns more than the patterns say, each
+stretch with a span is seen four times more: without the words (what is left is shape); without
+the words and the alphabet of a value that has a name before it; without the shape of such a
+value (what is left is context); and, as no span, without the words and with a plain word or
+number for the value.
 
 Words that look like prose -- no digit, none of the characters of assignments, not long -- and
-stand ``REACH`` words or more from one that doesn't share few features; where the weights prove
-that none of these can leave the outside tag (``far_is_outside``) only the stretches between
-them are decoded, with the outside tag at both ends, which gives the same best path.  If the
-proof fails, whole documents are decoded.
+stand ``REACH`` words or more from one that doesn't are outside by definition, in training and in
+decoding; the stretches between them begin and end beside the outside tag.
 
 Spans are in code points, end exclusive.  Defined results: a null or empty text has no spans;
 rows that repeat an id are scanned alone; very long texts are scanned whole; without a base
@@ -68,9 +71,14 @@ _MARK = _class("=:_+/\"'@\\")
 _HEXD = _class("0123456789abcdef")
 _ASCII_PUNCT = _class(bytes(i for i in range(33, 127) if not chr(i).isalnum()))
 _QUOTE = _class("\"'")
+_AT = _class("@")
 WORDS = 1 << 10
 #: Number of values of each feature.
-WIDTHS = (8, 32, 8, WORDS, 32, 32, WORDS, WORDS, WORDS, 16, 4)
+WIDTHS = (8, 32, 8, WORDS, 32, 32, WORDS, WORDS, WORDS, 16, 4, 12)
+#: Features that name words, and those that show the shape which the patterns ask for.
+WORD_FEATURES, SHAPE_FEATURES = (3, 6, 7, 8), (1, 2)
+#: Length class, characters and kind of plain words and numbers, bare and in quotes.
+PLAIN = ((1, 1, 4), (2, 1, 4), (1, 9, 0), (2, 9, 0), (2, 4, 0), (2, 6, 0), (2, 12, 0), (2, 14, 0), (3, 4, 0), (3, 12, 0), (1, 17, 0), (2, 17, 0))
 
 
 def candidates(t: Tokens) -> np.ndarray:
@@ -102,9 +110,9 @@ def candidates(t: Tokens) -> np.ndarray:
 
 
 class Features:
-    """Features of words near one that does not look like prose (or of all words)."""
+    """Features of words near one that does not look like prose."""
 
-    def __init__(self, t: Tokens, everything: bool = False):
+    def __init__(self, t: Tokens):
         self.tokens = t
         n = len(t.start)
         size = t.end - t.start
@@ -116,20 +124,11 @@ class Features:
         digits, marks, uppers, lowers = count(_DIGIT), count(_MARK), count(_UPPER), count(_LOWERCASE)
         odd = (digits > 0) | (marks > 0) | (size >= 32)
         self.odd = odd
-        if everything:
-            near = np.ones(n, bool)
-        else:
-            near = odd.copy()
-            for k in range(1, REACH):
-                near[k:] |= odd[:-k] & (t.doc[k:] == t.doc[:-k])
-                near[:-k] |= odd[k:] & (t.doc[k:] == t.doc[:-k])
+        near = odd.copy()
+        for k in range(1, REACH):
+            near[k:] |= odd[:-k] & (t.doc[k:] == t.doc[:-k])
+            near[:-k] |= odd[k:] & (t.doc[k:] == t.doc[:-k])
         self.at = np.flatnonzero(near)
-        close = near if not everything else None
-        if everything:
-            close = odd.copy()
-            for k in range(1, REACH):
-                close[k:] |= odd[:-k] & (t.doc[k:] == t.doc[:-k])
-                close[:-k] |= odd[k:] & (t.doc[k:] == t.doc[:-k])
         other = size - digits - uppers - lowers - marks
         mask = (digits > 0) + 2 * (uppers > 0) + 4 * (lowers > 0) + 8 * (marks > 0) + 16 * (other > 0)
         at = self.at
@@ -143,7 +142,6 @@ class Features:
                 where[live] += step
         low = LOWER[t.buf]
         word = (hash_slices(low, begin, b) % U(WORDS - 2)).astype(np.int64) + 2 if len(at) else np.zeros(0, np.int64)
-        word[~close[at]] = 0
         all_words = np.zeros(n, np.int64)
         all_words[at] = word
         hexed = count(_HEXD)
@@ -151,6 +149,10 @@ class Features:
         rows = len(t.first) - 1
         odd_share = np.bincount(t.doc, weights=odd, minlength=rows) / np.maximum(t.counts, 1)
         file = np.digitize(t.counts, [20, 200, 2000]) * 4 + np.digitize(odd_share, [0.01, 0.1, 0.4])
+        last = t.buf[t.end - 1] if n else t.buf
+        sets = np.bincount(t.doc, weights=(last == ord("=")) | (last == ord(":")), minlength=rows) / np.maximum(t.counts, 1)
+        mixed = np.bincount(t.doc, weights=(size >= 20) & (digits > 0) & (lowers + uppers > 0), minlength=rows)
+        file2 = np.digitize(sets, [0.001, 0.02, 0.1]) * 3 + np.digitize(mixed, [1, 2])
 
         def beside(x: np.ndarray, step: int, none: int) -> np.ndarray:
             k = at + step
@@ -159,8 +161,9 @@ class Features:
             return np.where(good & (t.doc[k] == t.doc[at]), x[k], none)
 
         kind = (size[at] >= 16) * ((hexed[at] * 10 >= size[at] * 8) + 2 * ((digits[at] > 0) & (lowers[at] + uppers[at] > 0))) + 4 * (digits[at] == size[at])
+        kind = np.where(count(_AT)[at] > 0, 5, kind)
         quote = _QUOTE[t.buf[a]] + 2 * _QUOTE[t.buf[t.end[at] - 1]] if len(at) else np.zeros(0, np.int64)
-        self.x = np.stack([long[at], mask[at], kind, word, beside(mask, -1, 0), beside(mask, 1, 0), beside(all_words, -1, 1), beside(all_words, 1, 1), beside(all_words, -2, 1), file[t.doc[at]], quote], 1).astype(np.int64) if len(at) else np.zeros((0, len(WIDTHS)), np.int64)
+        self.x = np.stack([long[at], mask[at], kind, word, beside(mask, -1, 0), beside(mask, 1, 0), beside(all_words, -1, 1), beside(all_words, 1, 1), beside(all_words, -2, 1), file[t.doc[at]], quote, file2[t.doc[at]]], 1).astype(np.int64) if len(at) else np.zeros((0, len(WIDTHS)), np.int64)
         # stretches of neighbouring words of one document
         new = np.concatenate([[True], (np.diff(at) > 1) | (t.doc[at][1:] != t.doc[at][:-1])]) if len(at) else np.zeros(0, bool)
         self.stretch = np.flatnonzero(new)
@@ -187,19 +190,6 @@ class Field:
         m[OUT, INSIDE] = -1e9
         return m
 
-    def far_is_outside(self) -> bool:
-        """Whether no word of prose far from others can be on a best path but as outside."""
-        prose = [range(0, 6), [i for i in range(32) if not i & 9], [0], [0], [i for i in range(32) if not i & 9], [i for i in range(32) if not i & 9], range(0, WORDS), range(0, WORDS), range(0, WORDS), range(16), [0]]
-        m = self.move
-        ways = [m[a, t] + m[t, b] - m[a, OUT] - m[OUT, b] for t in (BEGIN, INSIDE) for a in range(3) for b in range(3) if not (a == OUT and t == INSIDE)]
-        # leaving the words beside it as they are; an inside after it would have to begin instead
-        gain = max(ways) + max(0.0, (m[:, INSIDE] - m[:, BEGIN]).max())
-        for t in (BEGIN, INSIDE):
-            lead = sum(max((self.emit[self.offset[k] + i, t] - self.emit[self.offset[k] + i, OUT]) for i in vals) if k not in (6, 7, 8) else (self.emit[self.offset[k], t] - self.emit[self.offset[k], OUT]) for k, vals in enumerate(prose))
-            if lead + gain >= 0:
-                return False
-        return True
-
     def _grid(self, stretch: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = np.diff(np.concatenate([stretch, [n]]))
         o = np.argsort(-size, kind="stable")
@@ -234,12 +224,14 @@ class Field:
                 tag[:live] = back[begin[:live] + k, tag[:live]]
         return tags
 
-    def fit(self, x: np.ndarray, stretch: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.25, l2: float = 1e-3) -> None:
+    def fit(self, x: np.ndarray, stretch: np.ndarray, y: np.ndarray, hidden: np.ndarray | None = None, rounds: int = 60, rate: float = 0.25, l2: float = 1e-3) -> None:
+        """``hidden``: features (rows x kinds) that are not to be seen."""
         n = len(x)
         if not n or not (y > 0).any():
             return
         begin, size, active = self._grid(stretch, n)
-        cols = x + self.offset
+        none = len(self.emit)  # a feature without weight
+        cols = x + self.offset if hidden is None else np.where(hidden, none, x + self.offset)
         sq, sm = np.full(self.emit.shape, 1e-8), np.full((3, 3), 1e-8)
         hot = np.eye(3)[y]
         ends = begin + size - 1
@@ -250,7 +242,8 @@ class Field:
         np.add.at(seen, (np.zeros(len(begin), int), y[begin]), 1)
         np.add.at(seen, (y[ends], np.zeros(len(ends), int)), 1)
         for _ in range(rounds):
-            e, m = self.scores(x), self.steps
+            held = np.vstack([self.emit, np.zeros(3)])
+            e, m = sum(held[cols[:, k]] for k in range(cols.shape[1])), self.steps
             em = np.exp(m)
             pe = np.exp(e - e.max(axis=1, keepdims=True))
             f, b = np.zeros((n, 3)), np.zeros((n, 3))
@@ -271,7 +264,7 @@ class Field:
             err = p - hot
             for k in range(cols.shape[1]):
                 for t in range(3):
-                    g[:, t] += np.bincount(cols[:, k], weights=err[:, t], minlength=len(g))
+                    g[:, t] += np.bincount(cols[:, k], weights=err[:, t], minlength=none + 1)[:none]
             g = g / n + l2 * self.emit
             at = np.flatnonzero(inner)
             pair = f[at - 1][:, :, None] * em[None] * (pe[at] * b[at])[:, None, :]
@@ -317,28 +310,66 @@ def _truth(f: Features, texts: pa.Array, hit: np.ndarray) -> np.ndarray:
     return y[f.at]
 
 
+def shown_again(x: np.ndarray, stretch: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches (x, starts, y), then those with spans in four disguises; with what is hidden of each."""
+    first = np.zeros(len(x), np.int64)
+    first[stretch[1:]] = 1
+    number = np.cumsum(first)
+    with_span = np.zeros(len(stretch), bool)
+    with_span[number[y > 0]] = True
+    again = np.flatnonzero(with_span[number])
+    own, tag, number = x[again], y[again], number[again]
+    n, k = len(x), len(again)
+    begin = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if k else again
+    name = (tag == BEGIN) & np.concatenate([tag[1:] == INSIDE, [False]])[:k]  # the first word of several
+    nothing, words = np.zeros(own.shape, bool), np.zeros(own.shape, bool)
+    words[:, WORD_FEATURES] = True
+    words[name, 0] = True
+    alphabet, shape = words.copy(), nothing.copy()
+    named = (tag == INSIDE) | name
+    alphabet[named, 1] = True
+    shape[np.ix_(named, SHAPE_FEATURES)] = True
+    mixed, dull = own.copy(), own.copy()
+    mixed[named & (mixed[:, 2] == 3), 2] = 2  # hexadecimal or not
+    value = np.flatnonzero((tag > 0) & (own[:, 0] >= 3))
+    dull[value, :3] = np.array(PLAIN)[np.random.default_rng(3).integers(0, len(PLAIN), len(value))]
+    for step, feature in ((1, 4), (-1, 5)):  # the neighbours see the new shape
+        at = np.clip(value + step, 0, max(k - 1, 0))
+        good = (at == value + step) & (number[at] == number[value])
+        dull[at[good], feature] = dull[value[good], 1]
+    hidden = np.concatenate([np.zeros(x.shape, bool), words, alphabet, shape, words])
+    return np.concatenate([x, own, mixed, own, dull]), np.concatenate([stretch, *(begin + n + k * i for i in range(4))]), np.concatenate([y, tag, tag, tag, np.zeros(k, y.dtype)]), hidden
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = 3_000) -> Field:
     """A field from the base spans of the documents with the smallest hashes of their ids; half of the sample has a word that spans begin with."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     likely = F.col("text").rlike(r"(?i)password|passwd|secret|token|api_?key|AKIA") | F.col("text").rlike(r"[0-9a-f]{24}")
-    order = F.xxhash64(F.col("doc_id"), F.lit(31))
-    # only ids are ordered; the texts of the chosen few are fetched by them
-    rare = own.where(likely).select("doc_id").orderBy(order).limit(train_docs // 2)
-    rest = own.select("doc_id").orderBy(order).limit(train_docs - train_docs // 2)
+    order = [F.xxhash64(F.col("doc_id"), F.lit(31)), "doc_id", "tid"]
+    # only ids and hashes of texts are ordered; features of the chosen few are made on executors
+    keyed = own.withColumn("tid", F.xxhash64("text"))
+    rare = keyed.where(likely).select("doc_id", "tid").orderBy(*order).limit(train_docs // 2)
+    rest = keyed.select("doc_id", "tid").orderBy(*order).limit(train_docs - train_docs // 2)
     chosen = rare.union(rest).distinct()
+    sample = keyed.join(F.broadcast(chosen), ["doc_id", "tid"], "left_semi").dropDuplicates(["doc_id", "tid"]).select("text")
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            texts = part["text"].combine_chunks()
+            t = tokenize(texts)
+            f = Features(t)
+            if len(f.x):
+                begins = np.zeros(len(f.x), bool)
+                begins[f.stretch] = True
+                x = pa.FixedSizeListArray.from_arrays(pa.array(f.x.astype(np.int16).reshape(-1)), f.x.shape[1])
+                yield from pa.table({"x": x.cast(pa.list_(pa.int16())), "begins": pa.array(begins), "y": pa.array(_truth(f, texts, candidates(t)).astype(np.int8))}).to_batches()
+
+    got = sample.mapInArrow(coded, "x array<short>, begins boolean, y byte").toArrow()
     field = Field()
-    xs, ss, ys, n = [], [], [], 0
-    sample = own.join(F.broadcast(chosen), "doc_id", "left_semi").limit(2 * train_docs).toArrow()
-    for part in slices(sample.to_batches(), "text"):
-        texts = part["text"].combine_chunks()
-        t = tokenize(texts)
-        f = Features(t)
-        ys.append(_truth(f, texts, candidates(t)))
-        xs.append(f.x)
-        ss.append(f.stretch + n)
-        n += len(f.x)
-    if n:
-        field.fit(np.concatenate(xs), np.concatenate(ss), np.concatenate(ys))
+    if got.num_rows:
+        x = got["x"].combine_chunks().flatten().to_numpy().astype(np.int64).reshape(got.num_rows, -1)
+        x, stretch, y, hidden = shown_again(x, np.flatnonzero(got["begins"].to_numpy()), got["y"].to_numpy().astype(np.int64))
+        field.fit(x, stretch, y, hidden)
     return field
 
 
@@ -346,7 +377,7 @@ SPANS = ArrayType(StructType().add("kind", "string").add("start", "integer").add
 SPANS_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def find(texts: pa.Array | pa.ChunkedArray, field: Field, partial: bool) -> list[list[tuple[str, int, int]]]:
+def find(texts: pa.Array | pa.ChunkedArray, field: Field) -> list[list[tuple[str, int, int]]]:
     t = tokenize(texts)
     rows = len(t.first) - 1
     out: list[list[tuple[str, int, int]]] = [[] for _ in range(rows)]
@@ -355,7 +386,7 @@ def find(texts: pa.Array | pa.ChunkedArray, field: Field, partial: bool) -> list
         out[d] = base_spans(texts[int(d)].as_py())
     if not len(t.start):
         return out
-    f = Features(t, not partial)
+    f = Features(t)
     tags = field.viterbi(f.x, f.stretch)
     tagged = np.flatnonzero(tags > 0)
     if len(tagged):
@@ -382,12 +413,12 @@ def scan(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c != "spans"]
     source = docs.select(*kept)
     schema = StructType([*source.schema.fields, StructField("spans", SPANS)])
-    held = docs.sparkSession.sparkContext.broadcast((field, field.far_is_outside()))
+    held = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, partial = held.value
+        model = held.value
         for part in slices(batches, text_col):
-            spans = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in find(part[text_col].combine_chunks(), model, partial)]
+            spans = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in find(part[text_col].combine_chunks(), model)]
             yield from part.append_column("spans", pa.array(spans, SPANS_TYPE)).combine_chunks().to_batches()
 
     return source.mapInArrow(run, schema)

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import inspect
 import math
+import random
 import re
 import zlib
 
@@ -78,16 +79,48 @@ def test_secrets(spark, sf):
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secret_scan.scan(docs, field).collect()}
     for i, t, _ in rows:
         assert [s for s in got[i] if s[0] != "field"] == brute_spans(t or ""), t
-    texts = pa.array([t for _, t, _ in rows])
-    if field.far_is_outside():
-        assert secret_scan.find(texts, field, True) == secret_scan.find(texts, field, False)
     assert secret_scan.scan(docs.limit(0), field).count() == 0
 
 
+PROSE = "the river ran past old mills and nobody in town could say when it had last been clear of reeds".split()
+
+
+def test_the_field_adds_secrets_that_no_pattern_knows(spark):
+    """Planted: values under names that are no keywords of the patterns, beside harmless assignments and numbers. Recall and precision of the added spans."""
+    rng = random.Random(4)
+    some = lambda n: " ".join(rng.choice(PROSE) for _ in range(n))
+    chars = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz0123456789"
+    key = lambda n=32: "".join(rng.choice(chars) for _ in range(n - 2)) + "x7"
+    taught = [f'{some(30)} {rng.choice(["token", "api_key", "secret"])} = "{rng.getrandbits(160):040x}" {some(20)}' for _ in range(60)]
+    plain = [f"{some(25)} {x} {some(20)}" for x in ("size = 40", 'name = "Anna"', "anna.lee42@mail7.example.org", "2669109448945250", "+49 151 2345678", "https://example.org/path/page?id=123456789", "count = 1200 and more", "version 12.4.5-beta2", "x = 3.14159", 'title = "Notes"') for _ in range(20)]
+    planted = [(f'{some(15)} {name} = "', key(), f'" {some(15)}') for name in ("credential", "auth", "bearer", "licence", "signing_id") for _ in range(20)]
+    rows = list(enumerate([*taught, *plain]))
+    field = secret_scan.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = [a + b + c for a, b, c in planted]
+    found = secret_scan.find(pa.array(texts), field)
+    caught = sum(any(k == "field" and s <= len(a) and e >= len(a) + len(b) for k, s, e in f) for (a, b, _), f in zip(planted, found, strict=True))
+    false = sum(len(f) for f in secret_scan.find(pa.array(plain), field))
+    assert not any(k != "field" for f in found for k, _, _ in f)
+    assert caught >= 0.95 * len(planted)
+    assert caught / (caught + false) >= 0.95
+    untaught = secret_scan.Field()
+    assert not any(secret_scan.find(pa.array(texts), untaught))
+
+
+def test_secrets_in_repeated_and_very_long_texts(spark):
+    """A long text is scanned whole, rows of one id each; nulls are empty; other columns stay."""
+    text = "word " * 200_000 + 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
+    rows = [(1, text, "a", 5), (1, text, "b", 6), (1, "other", None, 7), (None, None, "c", None), (2, "", "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x string, tid int")
+    got = secret_scan.scan(docs, secret_scan.train(docs)).collect()
+    assert sorted((len(r.spans), str(r.x), str(r.tid)) for r in got) == sorted([(2, "a", "5"), (2, "b", "6"), (0, "None", "7"), (0, "c", "None"), (0, "", "8")])
+    assert [(s.kind, s.end) for s in next(r for r in got if r.x == "a").spans] == [("assign", len(text) - 1), ("hex", len(text) - 1)]
+
+
 def test_hex_runs_end_with_their_text():
     texts = pa.array(["ends in a digest cafe", "0123456789abcdef01234567 first", None, "", "f" * 24, "g"])
     assert secret_scan.candidates(secret_scan.tokenize(texts)).tolist() == [False, True, False, False, True, False]
-    found = secret_scan.find(texts, secret_scan.Field(), False)
+    found = secret_scan.find(texts, secret_scan.Field())
     assert [[tuple(s.values() if isinstance(s, dict) else s)[:3] for s in r if "hex" in str(s)] for r in found] == [[], [("hex", 0, 24)], [], [], [("hex", 0, 24)], []]
 
 
