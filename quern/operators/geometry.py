@@ -13,7 +13,11 @@ from pyspark.sql.window import Window
 
 from quern.functions.text import collapse, word_count
 
+# --- fixed values: the caption pattern; least characters of a caption; least sides, strokes, heights, characters and ink of a region ---
 CAPTION = r"(?is)^\s*(fig(?:ure)?\.?|table)\s*(\d+)\s*[:.]\s*(\S.*)"
+CAPTION_CHARS = 25
+REGION, STROKES, TALL, TABLE_CHARS, INK = 40.0, 8, 80.0, 80, 0.005
+PAD, GAP = 6.0, 12.0
 PAGE = ["doc_id", "page"]
 
 
@@ -21,16 +25,28 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     return blocks.where(F.trim("text") != "").withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.round("y0", 1), "x0")))
 
 
-def captions(blocks: DataFrame, tables: bool = False, least: int = 25) -> DataFrame:
-    """Blocks that open with a caption; of a figure found twice, the first."""
+def caption_candidates(blocks: DataFrame, tables: bool = False) -> DataFrame:
+    """Every block that opens with a caption, under an id of its own: figure_id is ``<doc>-p<page>-<kind><number>``,
+    which several may share; ``candidate`` tells them apart, ``place`` is their reading order.  ``caption`` is what follows the prefix."""
     kind = F.when(F.lower(F.regexp_extract("text", CAPTION, 1)).startswith("fig"), "figure").otherwise("table")
-    found = blocks.where(F.col("text").rlike(CAPTION)).withColumn("kind", kind).withColumn("number", F.regexp_extract("text", CAPTION, 2)).withColumn("caption", collapse(F.col("text")))
-    found = found.where(F.length("caption") >= least)
+    found = blocks.where(F.col("text").rlike(CAPTION)).select("doc_id", "page", "block_no", "x0", "y0", "x1", "y1", kind.alias("kind"), F.regexp_extract("text", CAPTION, 2).alias("number"), collapse(F.regexp_extract("text", CAPTION, 3)).alias("caption"))
+    found = found.where(F.length("caption") >= CAPTION_CHARS)
     if not tables:
         found = found.where("kind = 'figure'")
-    ident = F.concat(F.col("doc_id").cast("string"), F.when(F.col("kind") == "figure", "-fig").otherwise("-table"), F.col("number"))
-    first = Window.partitionBy("figure_id").orderBy("page", F.round("y0", 1), "x0")
-    return found.withColumn("figure_id", ident).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    page = F.concat(F.col("doc_id").cast("string"), F.lit("-p"), F.col("page").cast("string"))
+    place = F.struct(F.round("y0", 1).alias("y"), F.col("x0").alias("x"), "block_no")
+    return found.select("*", F.concat(page, F.lit("-"), "kind", "number").alias("figure_id"), F.concat(page, F.lit("-b"), F.col("block_no").cast("string")).alias("candidate"), place.alias("place"), F.concat(F.initcap("kind"), F.lit(" "), "number").alias("label"))
+
+
+def _first(found: DataFrame) -> DataFrame:
+    """Of the rows of one figure the first in reading order."""
+    order = Window.partitionBy("figure_id").orderBy("place")
+    return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def captions(blocks: DataFrame, tables: bool = False) -> DataFrame:
+    """Blocks that open with a caption; of a figure found twice on a page, the first."""
+    return _first(caption_candidates(blocks, tables))
 
 
 def is_prose(text: Column) -> Column:
@@ -38,7 +54,7 @@ def is_prose(text: Column) -> Column:
 
 
 def is_sentence(text: Column) -> Column:
-    """Running prose: eight words, few digits and table signs, some sentence punctuation."""
+    """Running prose: eight words, few digits and table signs, some sentence punctuation (fixed values: the signs and shares)."""
     signs = F.length(text) - F.length(F.regexp_replace(text, r"[\p{Nd}✓✗×√±%|]", ""))
     stops = F.regexp_count(text, F.lit(r"\. ")) + F.regexp_count(text, F.lit(", "))
     return is_prose(text) & (signs / F.greatest(F.length(text), F.lit(1)) <= 0.10) & (stops >= 1)
@@ -55,9 +71,9 @@ def _same_column() -> Column:
     return (F.col("b.x1") > F.col("c.x0")) & (F.col("b.x0") < F.col("c.x1"))
 
 
-def ceilings(caps: DataFrame, blocks: DataFrame, page_box: DataFrame) -> DataFrame:
-    """(figure_id, ceiling): the lowest edge of prose above the caption in its column, or the page's top."""
-    met = _beside(caps, blocks.where(is_prose(F.col("text"))), (F.col("b.y1") <= F.col("c.y0")) & _same_column())
+def ceilings(caps: DataFrame, blocks: DataFrame, page_box: DataFrame, sentences: bool = False) -> DataFrame:
+    """(figure_id, ceiling): the lowest edge of prose (of body sentences, for tables) above the caption in its column, or the page's top."""
+    met = _beside(caps, blocks.where(is_sentence(F.col("text")) if sentences else is_prose(F.col("text"))), (F.col("b.y1") <= F.col("c.y0")) & _same_column())
     near = met.groupBy("c.figure_id", "c.doc_id", "c.page").agg(F.max("b.y1").alias("edge"))
     return near.join(page_box, PAGE).select("figure_id", F.greatest(F.coalesce("edge", "py0"), "py0").alias("ceiling"))
 
@@ -80,7 +96,7 @@ def column_spans(caps: DataFrame, blocks: DataFrame, page_box: DataFrame) -> Dat
     return c.select("figure_id", F.when(two & ~on_left, mid).otherwise(F.col("px0")).alias("lo"), F.when(two & on_left, mid).otherwise(F.col("px1")).alias("hi"))
 
 
-def merged_intervals(rows: DataFrame, group: list[str], lo: str = "x0", hi: str = "x1", gap: float = 12.0) -> DataFrame:
+def merged_intervals(rows: DataFrame, group: list[str], lo: str = "x0", hi: str = "x1", gap: float = GAP) -> DataFrame:
     """Islands of intervals no more than ``gap`` apart: (group, island, lo, hi)."""
     order = Window.partitionBy(*group).orderBy(lo, hi)
     reach = F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -89,7 +105,7 @@ def merged_intervals(rows: DataFrame, group: list[str], lo: str = "x0", hi: str
     return marked.groupBy(*group, "island").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"))
 
 
-def band_extents(bands: DataFrame, blocks: DataFrame, gap: float = 12.0) -> DataFrame:
+def band_extents(bands: DataFrame, blocks: DataFrame, gap: float = GAP) -> DataFrame:
     """(figure_id, x0, x1): bands(figure_id, doc_id, page, y0, y1, x0, x1, lo, hi) grown over the blocks they touch.
 
     Growing step by step reaches exactly the island of intervals that holds the start, so the
@@ -106,7 +122,8 @@ def band_extents(bands: DataFrame, blocks: DataFrame, gap: float = 12.0) -> Data
 
 def _within(bands: DataFrame, rows: DataFrame) -> DataFrame:
     key = (F.col("c.doc_id") == F.col("b.doc_id")) & (F.col("c.page") == F.col("b.page"))
-    touch = (F.col("b.x0") < F.col("c.x1")) & (F.col("b.x1") > F.col("c.x0")) & (F.col("b.y0") < F.col("c.y1")) & (F.col("b.y1") > F.col("c.y0"))
+    solid = (F.col("b.x1") > F.col("b.x0")) & (F.col("b.y1") > F.col("b.y0"))  # an empty box touches nothing
+    touch = solid & (F.col("b.x0") < F.col("c.x1")) & (F.col("b.x1") > F.col("c.x0")) & (F.col("b.y0") < F.col("c.y1")) & (F.col("b.y1") > F.col("c.y0"))
     return bands.alias("c").join(rows.alias("b"), key & touch, "left")
 
 
@@ -120,32 +137,42 @@ def graphic_extents(bands: DataFrame, graphics: DataFrame) -> DataFrame:
     return _within(bands, graphics).groupBy("c.figure_id").agg(F.min("b.x0").alias("gx0"), F.min("b.y0").alias("gy0"), F.max("b.x1").alias("gx1"), F.max("b.y1").alias("gy1"), F.count_if(F.col("b.kind") == "drawing").alias("n_drawings"), F.count_if(F.col("b.kind") == "image").alias("n_images"))
 
 
-def extract_figures(blocks: DataFrame, graphics: DataFrame, page_box: DataFrame, tables: bool = True, least_region: float = 40.0, least_draws: int = 8, least_band: float = 80.0, least_table_chars: int = 80) -> DataFrame:
-    """Figures and tables with their boxes.
-
-    A figure is the union of graphics between prose above and its caption, if there are enough
-    strokes or an image; without graphics a tall band stands for it.  A table is the denser of
-    the bands above and below its caption (above on ties), as wide as its text."""
-    caps = captions(blocks, tables)
-    spans = caps.join(ceilings(caps, blocks, page_box), "figure_id").join(floors(caps, blocks, page_box), "figure_id").join(column_spans(caps, blocks, page_box), "figure_id")
-    base = ["figure_id", "doc_id", "page", "kind", "number", "caption"]
-    above = spans.select(*base, "lo", "hi", F.col("x0"), F.col("x1"), F.col("ceiling").alias("y0"), F.col("y0").alias("y1"))
-    below = spans.select(*base, "lo", "hi", F.col("x0"), F.col("x1"), F.col("y1").alias("y0"), F.col("floor").alias("y1"))
-    # figures
-    fig = above.where("kind = 'figure'").withColumn("x0", F.col("lo")).withColumn("x1", F.col("hi"))
-    drawn = fig.join(graphic_extents(fig, graphics), "figure_id")
-    enough = (F.col("n_drawings") >= least_draws) | (F.col("n_images") > 0)
-    clip = lambda a, b, f: f(a, b)
-    boxed = drawn.select(*base, "n_drawings", "n_images", *[F.when(enough, clip(F.col(g), F.col(s), f)).when((F.col("y1") - F.col("y0") >= least_band), F.col(s)).alias(s) for g, s, f in (("gx0", "x0", F.greatest), ("gy0", "y0", F.greatest), ("gx1", "x1", F.least), ("gy1", "y1", F.least))])
-    # tables
-    both = above.where("kind = 'table'").withColumn("side", F.lit(0)).unionByName(below.where("kind = 'table'").withColumn("side", F.lit(1)))
-    both = both.withColumn("figure_id", F.concat_ws("#", "figure_id", "side"))
-    wide = band_extents(both, blocks)
-    sized = both.drop("x0", "x1").join(wide, "figure_id")
-    dense = sized.join(text_density(sized, blocks), "figure_id").where(F.col("chars") >= least_table_chars).withColumn("figure_id", F.substring_index("figure_id", "#", 1))
-    best = dense.groupBy("figure_id").agg(F.max_by(F.struct("doc_id", "page", "kind", "number", "caption", "x0", "y0", "x1", "y1"), F.struct("chars", -F.col("side"))).alias("t")).select("figure_id", "t.*")
-    out = boxed.unionByName(best.withColumn("n_drawings", F.lit(0).cast("long")).withColumn("n_images", F.lit(0).cast("long")))
-    return out.where((F.col("x1") - F.col("x0") >= least_region) & (F.col("y1") - F.col("y0") >= least_region))
+def extract_figures(blocks: DataFrame, graphics: DataFrame, page_box: DataFrame, tables: bool = True, inks: DataFrame | None = None) -> DataFrame:
+    """Figures and tables with their boxes: figure_id, doc_id, page, kind, number, label, caption, x0, y0, x1, y1, n_drawings, n_images.
+
+    A figure's band lies between the prose above and its caption, as wide as the caption; it counts if
+    it has enough strokes or an image, or is tall without prose; its box is what is drawn in the band.  A
+    table is the band above or below its caption with more text in it (above on ties), then as wide
+    as its text.  Of candidates for one figure the first that counts stays.  ``inks`` (candidate, ink), from
+    rendered boxes, drops blank ones."""
+    every = caption_candidates(blocks, tables).join(page_box, PAGE)
+    head = ["figure_id", "candidate", "place", "doc_id", "page", "kind", "number", "label", "caption"]
+    # each candidate is a figure of its own until the last step
+    named = every.withColumn("figure_id", F.col("candidate"))
+    sides = [F.greatest(F.col("x0") - PAD, "px0").alias("x0"), F.least(F.col("x1") + PAD, "px1").alias("x1")]
+
+    fig = named.where("kind = 'figure'")
+    band = fig.join(ceilings(fig, blocks, page_box), "figure_id").select("figure_id", "doc_id", "page", *sides, F.col("ceiling").alias("y0"), F.col("y0").alias("y1")).where(F.col("y1") - F.col("y0") >= REGION)
+    prose = _within(band, blocks.where(is_prose(F.col("text")))).groupBy("c.figure_id").agg(F.count("b.text").alias("prose"))
+    drawn = band.join(graphic_extents(band, graphics), "figure_id").join(prose, "figure_id")
+    counts = (F.col("n_drawings") >= STROKES) | (F.col("n_images") > 0) | ((F.col("y1") - F.col("y0") >= TALL) & (F.col("prose") == 0))
+    cut_box = [F.greatest("x0", "gx0"), F.greatest("y0", "gy0"), F.least("x1", "gx1"), F.least("y1", "gy1")]
+    some = F.col("gx0").isNotNull() & (cut_box[2] > cut_box[0]) & (cut_box[3] > cut_box[1])
+    boxed = drawn.where(counts).select("figure_id", *[F.when(some, c).otherwise(F.col(n)).alias(n) for c, n in zip(cut_box, ("x0", "y0", "x1", "y1"), strict=True)], "n_drawings", "n_images")
+
+    tab = named.where("kind = 'table'")
+    spans = tab.join(ceilings(tab, blocks, page_box, sentences=True), "figure_id").join(floors(tab, blocks, page_box), "figure_id").join(column_spans(tab.drop("px0", "py0", "px1", "py1"), blocks, page_box), "figure_id")
+    bands = [spans.select(F.concat_ws("#", "figure_id", F.lit(n)).alias("figure_id"), "doc_id", "page", *sides, top.alias("y0"), bottom.alias("y1"), "lo", "hi") for n, top, bottom in ((0, F.col("ceiling"), F.col("y0")), (1, F.col("y1"), F.col("floor")))]
+    both = bands[0].unionByName(bands[1]).where((F.col("y1") - F.col("y0") >= REGION) & (F.col("x1") > F.col("x0")))
+    dense = both.join(text_density(both, blocks), "figure_id").withColumn("own", F.substring_index("figure_id", "#", 1)).withColumn("side", F.substring_index("figure_id", "#", -1).cast("int"))
+    best = dense.groupBy("own").agg(F.max_by(F.struct("doc_id", "page", "x0", "y0", "x1", "y1", "lo", "hi"), F.struct("chars", -F.col("side"))).alias("t")).select(F.col("own").alias("figure_id"), "t.*")
+    wide = best.drop("x0", "x1").join(band_extents(best, blocks), "figure_id")
+    full = wide.join(text_density(wide, blocks), "figure_id").where(F.col("chars") >= TABLE_CHARS).select("figure_id", "x0", "y0", "x1", "y1", F.lit(0).cast("long").alias("n_drawings"), F.lit(0).cast("long").alias("n_images"))
+
+    out = boxed.unionByName(full).where((F.col("x1") - F.col("x0") >= REGION) & (F.col("y1") - F.col("y0") >= REGION)).withColumnRenamed("figure_id", "candidate")
+    if inks is not None:
+        out = out.join(inks.where(F.col("ink") >= INK), "candidate")
+    return _first(every.select(*head).join(out, "candidate")).drop("place")
 
 
 def figure_text(label: Column, caption: Column, description: Column) -> Column:
@@ -155,5 +182,5 @@ def figure_text(label: Column, caption: Column, description: Column) -> Column:
 
 def figure_chunks(figures: DataFrame, descriptions: DataFrame) -> DataFrame:
     """Figures as ordinary chunks, with their descriptions where known."""
-    label = F.concat(F.initcap("kind"), F.lit(" "), F.col("number"))
+    label = F.col("label")
     return figures.join(descriptions, "figure_id", "left").select(F.col("figure_id").alias("chunk_id"), "doc_id", label.alias("section"), figure_text(label, F.col("caption"), F.col("description")).alias("text"))

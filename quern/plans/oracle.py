@@ -89,6 +89,16 @@ _VARIANTS = rf"""vars AS (
 _ASKED0 = "asked0 AS (SELECT item_id AS query_id, text FROM benchmark)"
 
 
+_BLOCKS = r"""line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents WHERE text IS NOT NULL),
+raw AS (SELECT doc_id, n // 12 AS page, n AS block_no, CAST(50 + 270 * (n % 12 % 2) AS DOUBLE) AS x0, CAST(40 + 110 * (n % 12 // 2) AS DOUBLE) AS y0, line,
+  CASE WHEN (n * 7 + doc_id) % 5 = 0 THEN CASE WHEN n % 2 = 0 THEN 'Figure ' ELSE 'Table ' END || n % 3 || ': ' ELSE '' END || line AS text FROM line),
+sized AS (SELECT * EXCLUDE (line), x0 + 230 - (length(line) * 7) % 40 AS x1, y0 + 20 + length(line) % 60 AS y1, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) >= 8 AS prose FROM raw),
+blocks AS (SELECT *, prose AND length(regexp_replace(text, '[^\p{Nd}✓✗×√±%|]', '', 'g')) / greatest(length(text), 1) <= 0.10 AND (length(text) - length(replace(text, '. ', ''))) + (length(text) - length(replace(text, ', ', ''))) >= 2 AS sentence FROM sized),
+cand AS (SELECT *, CASE WHEN starts_with(lower(regexp_extract(text, '^\s*(fig(?:ure)?\.?|table)\s*(\d+)\s*[:.]\s*(\S.*)', 1, 'is')), 'fig') THEN 'figure' ELSE 'table' END AS kind, regexp_extract(text, '^\s*(fig(?:ure)?\.?|table)\s*(\d+)\s*[:.]\s*(\S.*)', 2, 'is') AS number,
+  trim(regexp_replace(regexp_extract(text, '^\s*(fig(?:ure)?\.?|table)\s*(\d+)\s*[:.]\s*(\S.*)', 3, 'is'), '\s+', ' ', 'g')) AS caption FROM blocks WHERE regexp_matches(text, '^\s*(fig(?:ure)?\.?|table)\s*(\d+)\s*[:.]\s*(\S.*)', 'is')),
+caps AS (SELECT * FROM (SELECT *, doc_id || '-p' || page || '-' || kind || number AS figure_id, row_number() OVER (PARTITION BY doc_id, page, kind, number ORDER BY round(y0, 1), x0, block_no) AS place FROM cand WHERE length(caption) >= 25) WHERE place = 1)"""
+
+
 def _answered() -> str:
     return f"""blob AS (SELECT query_id, string_agg(text, ' ' ORDER BY rank) AS blob, min(CASE WHEN lang = 'en' THEN rank END) AS table_rank FROM sparse JOIN documents USING (doc_id) GROUP BY query_id),
 ans AS (SELECT item_id AS query_id, coalesce(contains(blob, substr(text, 1, 30)) OR contains(blob, 'no such anchor'), false) AS answerable, table_rank FROM benchmark LEFT JOIN blob ON query_id = item_id)"""
@@ -182,6 +192,21 @@ SELECT user_id, CAST(island AS BIGINT) AS island, round(min(x0), 3) AS lo, round
     out["measurement_facts"] = "SELECT * FROM (VALUES ('2401.1', 'net a', 'Net A (ours)', 'Acc', 71.2::DOUBLE, true, 'table:f1', 'Table 1: scores'), ('2401.1', 'net a', 'Net A (ours)', 'F1', 0.5, false, 'table:f1', 'Table 1: scores'), ('2401.1', 'net-b', 'Net-B', 'Acc', 1204, false, 'table:f1', 'Table 1: scores'), ('2401.1', 'net c', 'Net C', 'col3', 7, false, 'table:f1', 'Table 1: scores'), ('2402.7', 'net a', 'net a', 'Acc', 70, false, 'table:f2', '')) t(paper, method, method_raw, \"column\", value, is_percent, source, caption)"
     out["measurement_drops"] = "SELECT * FROM (VALUES ('non-entity row label', 1::BIGINT), ('ambiguous cell', 1), ('numeric row label', 1), ('percent out of range', 1), ('non-numeric cell', 2), ('empty row label', 1), ('unparseable table', 1)) t(drop_reason, \"count\")"
     out["joinable_methods"] = "SELECT 'net a' AS method, 2::BIGINT AS papers"
-    out["band_overlap"] = "SELECT 'p-fig1' AS figure_id, 100.0::DOUBLE AS ceiling, 400.0::DOUBLE AS floor, 0.0::DOUBLE AS lo, 600.0::DOUBLE AS hi"
+    out["figure_captions"] = f"WITH {_BLOCKS} SELECT figure_id, kind, number, md5(caption) AS caption_md5, block_no FROM caps"
+    beside = "JOIN blocks b ON b.doc_id = c.doc_id AND b.page = c.page AND b.x1 > c.x0 AND b.x0 < c.x1"
+    out["band_overlap"] = f"""WITH {_BLOCKS},
+up AS (SELECT figure_id, max(b.y1) FILTER (b.prose) AS a, max(b.y1) FILTER (b.sentence) AS t FROM caps c {beside} AND b.y1 <= c.y0 GROUP BY figure_id),
+down AS (SELECT figure_id, min(b.y0) FILTER (b.sentence) AS f FROM caps c {beside} AND b.y0 >= c.y1 GROUP BY figure_id),
+cols AS (SELECT doc_id, page, count(*) FILTER (x1 <= 300) >= 3 AND count(*) FILTER (x1 > 300 AND x0 >= 300) >= 3 AS two FROM blocks WHERE sentence GROUP BY ALL)
+SELECT figure_id, coalesce(a, 0) AS ceiling, coalesce(t, 0) AS table_ceiling, coalesce(f, 800) AS floor,
+  CASE WHEN two AND x1 - x0 <= 360 AND (x0 + x1) / 2 > 300 THEN 300::DOUBLE ELSE 0 END AS lo, CASE WHEN two AND x1 - x0 <= 360 AND (x0 + x1) / 2 <= 300 THEN 300::DOUBLE ELSE 600 END AS hi
+FROM caps LEFT JOIN up USING (figure_id) LEFT JOIN down USING (figure_id) LEFT JOIN cols USING (doc_id, page)"""
+    out["band_contents"] = f"""WITH {_BLOCKS},
+up AS (SELECT figure_id, max(b.y1) AS a FROM caps c {beside} AND b.y1 <= c.y0 AND b.prose GROUP BY figure_id),
+band AS (SELECT figure_id, doc_id, page, x0 - 6 AS x0, coalesce(a, 0) AS y0, x1 + 6 AS x1, y0 AS y1 FROM caps LEFT JOIN up USING (figure_id) WHERE y0 - coalesce(a, 0) >= 40),
+g AS (SELECT doc_id, page, CASE WHEN block_no % 3 = 0 THEN 'drawing' ELSE 'image' END AS kind, x0 + 15 AS x0, y0 + 15 AS y0, x1 + 15 AS x1, y1 + 15 AS y1 FROM blocks WHERE block_no % 3 = 0 OR block_no % 7 = 0),
+t AS (SELECT figure_id, CAST(sum(length(text)) AS BIGINT) AS chars FROM band c JOIN blocks b ON b.doc_id = c.doc_id AND b.page = c.page AND b.x0 < c.x1 AND b.x1 > c.x0 AND b.y0 < c.y1 AND b.y1 > c.y0 AND b.x1 > b.x0 AND b.y1 > b.y0 GROUP BY figure_id),
+e AS (SELECT figure_id, min(b.x0) AS gx0, min(b.y0) AS gy0, max(b.x1) AS gx1, max(b.y1) AS gy1, count(*) FILTER (kind = 'drawing') AS n_drawings, count(*) FILTER (kind = 'image') AS n_images FROM band c JOIN g b ON b.doc_id = c.doc_id AND b.page = c.page AND b.x0 < c.x1 AND b.x1 > c.x0 AND b.y0 < c.y1 AND b.y1 > c.y0 GROUP BY figure_id)
+SELECT figure_id, coalesce(chars, 0) AS chars, gx0, gy0, gx1, gy1, coalesce(n_drawings, 0) AS n_drawings, coalesce(n_images, 0) AS n_images FROM band LEFT JOIN t USING (figure_id) LEFT JOIN e USING (figure_id)"""
     out["section_pattern"] = "SELECT * FROM (VALUES ('a', 'body', 'front matter'), ('a', 'Abstract', 'short text'), ('a', '1. Introduction', 'some words, 12 more.'), ('b', 'body', 'nothing here')) t(doc_id, section, text)"
     return out

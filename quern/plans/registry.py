@@ -416,23 +416,39 @@ def joinable_methods(s, d):
     return measurements.joinable(measurements.measurements(s.createDataFrame(TABLES, TABLES_SCHEMA)))
 
 
-BLOCK = "doc_id string, page int, block_no int, x0 double, y0 double, x1 double, y1 double, text string"
-PROSE = "This is a body sentence, with enough words to count as prose here."
-BLOCKS = [
-    ("p", 1, 0, 50.0, 50.0, 280.0, 100.0, PROSE),
-    ("p", 1, 1, 320.0, 50.0, 550.0, 180.0, PROSE),
-    ("p", 1, 2, 100.0, 150.0, 140.0, 160.0, "axis label"),
-    ("p", 1, 3, 50.0, 300.0, 280.0, 330.0, "Figure 1: the accuracy of all the systems"),
-    ("p", 1, 4, 50.0, 400.0, 280.0, 450.0, PROSE),
-]
-BOXES = [("p", 1, 0.0, 0.0, 600.0, 800.0)]
-BOX = "doc_id string, page int, px0 double, py0 double, px1 double, py1 double"
+def _blocks(s, d):
+    """Blocks of pages in two columns, one for each line of a document; some lines get a caption's prefix."""
+    line = _docs(s, d).where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    size, slot = F.length("line"), F.pmod("n", F.lit(12))
+    x0 = (50 + 270 * (slot % 2)).cast("double")
+    y0 = (40 + 110 * F.expr("pmod(n, 12) div 2")).cast("double")
+    prefix = F.when(F.pmod(F.col("n") * 7 + F.col("doc_id"), F.lit(5)) == 0, F.concat(F.when(F.pmod("n", F.lit(2)) == 0, "Figure ").otherwise("Table "), (F.col("n") % 3).cast("string"), F.lit(": "))).otherwise("")
+    return line.select("doc_id", F.expr("n div 12").cast("int").alias("page"), F.col("n").alias("block_no"), x0.alias("x0"), y0.alias("y0"), (x0 + 230 - (size * 7) % 40).alias("x1"), (y0 + 20 + size % 60).alias("y1"), F.concat(prefix, F.col("line")).alias("text"))
+
+
+def _boxes(s, d):
+    return _blocks(s, d).select("doc_id", "page").distinct().select("*", *[F.lit(v).alias(n) for n, v in (("px0", 0.0), ("py0", 0.0), ("px1", 600.0), ("py1", 800.0))])
+
+
+def figure_captions(s, d):
+    return geometry.captions(_blocks(s, d), tables=True).select("figure_id", "kind", "number", F.md5("caption").alias("caption_md5"), F.col("block_no").cast("long").alias("block_no"))
 
 
 def band_overlap(s, d):
-    blocks, box = s.createDataFrame(BLOCKS, BLOCK), s.createDataFrame(BOXES, BOX)
-    caps = geometry.captions(blocks)
-    return geometry.ceilings(caps, blocks, box).join(geometry.floors(caps, blocks, box), "figure_id").join(geometry.column_spans(caps, blocks, box), "figure_id")
+    blocks, box = _blocks(s, d), _boxes(s, d)
+    caps = geometry.captions(blocks, tables=True)
+    lows = geometry.ceilings(caps, blocks, box, sentences=True).withColumnRenamed("ceiling", "table_ceiling")
+    return geometry.ceilings(caps, blocks, box).join(lows, "figure_id").join(geometry.floors(caps, blocks, box), "figure_id").join(geometry.column_spans(caps, blocks, box), "figure_id")
+
+
+def band_contents(s, d):
+    """Text and graphics in the bands of captions; every third block is a stroke, every seventh an image, moved by 15 points."""
+    blocks, box = _blocks(s, d), _boxes(s, d)
+    caps = geometry.captions(blocks, tables=True)
+    bands = caps.join(geometry.ceilings(caps, blocks, box), "figure_id").select("figure_id", "doc_id", "page", (F.col("x0") - 6).alias("x0"), F.col("ceiling").alias("y0"), (F.col("x1") + 6).alias("x1"), F.col("y0").alias("y1")).where("y1 - y0 >= 40")
+    kind = F.when(F.pmod("block_no", F.lit(3)) == 0, "drawing").when(F.pmod("block_no", F.lit(7)) == 0, "image")
+    graphics = blocks.select("doc_id", "page", kind.alias("kind"), *[(F.col(c) + 15).alias(c) for c in ("x0", "y0", "x1", "y1")]).where("kind IS NOT NULL")
+    return geometry.text_density(bands, blocks).join(geometry.graphic_extents(bands, graphics), "figure_id")
 
 
 def section_pattern(s, d):
@@ -448,7 +464,7 @@ def queries() -> dict[str, Query]:
         gate_extremes, chunk_windows, section_segments, noise_filter, body_sizes, idempotent_append, todo_anti_join, prune_plan, figure_reindex, augmented_corpora, index_health, corpus_fingerprint,
         list_sources_first_title, context_block, citation_check, strip_cites, token_dilution, answerability, failure_diagnosis, figure_displacement, metric_deltas, candidate_audit,
         corpus_overlap_substring, longest_per_group, latency_percentiles, interval_merge, lsh_topk, stemmed_bm25, nfkd_clean, rejoined_lines, measurement_facts, measurement_drops, joinable_methods,
-        band_overlap, section_pattern,
+        figure_captions, band_overlap, band_contents, section_pattern,
     ]
     return {f.__name__: f for f in named}
 
