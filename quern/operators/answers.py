@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.config import Config
 from quern.functions.text import strip_cites
 
 UNTRUSTED = ("<<<untrusted excerpt>>>", "<<<end of excerpt>>>")
@@ -58,6 +62,28 @@ def list_sources(chunks: DataFrame, source: str, title: str, order: str) -> Data
     return chunks.groupBy(source).agg(F.min_by(title, order).alias("title"), F.count(F.lit(1)).alias("chunks"))
 
 
+def escaped(text: Column) -> Column:
+    """Text for a web page."""
+    out = F.coalesce(text, F.lit(""))
+    for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(raw), F.lit(name))
+    return out
+
+
+def page_of_hits(hits: DataFrame) -> DataFrame:
+    """(query_id, html): the hits of each query as a list with where they come from, escaped; hits(query_id, rank, title, section, text)."""
+    item = F.concat(F.lit("<li><cite>"), escaped(F.col("title")), F.lit(" \u2014 "), escaped(F.col("section")), F.lit("</cite><p>"), escaped(F.substring("text", 1, 240)), F.lit("</p></li>"))
+    listed = F.array_sort(F.collect_list(F.struct("rank", item.alias("item"))))
+    return hits.groupBy("query_id").agg(F.concat(F.lit("<ol>"), F.array_join(F.transform(listed, lambda x: x["item"]), ""), F.lit("</ol>")).alias("html"))
+
+
+def full_fingerprint(chunks: DataFrame, cfg: Config, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """The fingerprint with the corpus' size and what the results depend on: tokenizer and settings."""
+    sizes = chunks.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars"), F.max(F.length(text_col)).alias("longest"))
+    settings = json.dumps(asdict(cfg), sort_keys=True)
+    return fingerprint(chunks, id_col).crossJoin(sizes).withColumn("tokenizer", F.lit(cfg.tokenizer_version)).withColumn("settings", F.lit(settings)).withColumn("stamp", F.sha2(F.concat_ws("|", "chunks", "digest", "chars", "tokenizer", "settings"), 256))
+
+
 def fingerprint(chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """Count and an order-free digest of the ids."""
     return chunks.agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long")).alias("digest"))

@@ -15,7 +15,8 @@ from quern.operators.retrieval import Index, postings, term_bucket
 
 def new_rows(stored: DataFrame, arriving: DataFrame, key: str = "chunk_id", order: str | None = None) -> DataFrame:
     """Arriving rows whose key is not stored, each key once (the first in order)."""
-    once = arriving.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order or key))).where("_n = 1").drop("_n")
+    by = [F.col(order)] if order else [F.xxhash64(*[F.col(f"`{c}`") for c in arriving.columns])]  # no order given: any, but the same on every run
+    once = arriving.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where("_n = 1").drop("_n")
     return once.join(stored.select(key), key, "left_anti")
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# --- fixed values: row labels that name no method, and cells that are empty ---
+# --- fixed values: row labels that name no method, cells that are empty, patterns of cells ---
 NOT_METHODS = (
-    "total average avg mean overall all sum ours baseline random human others other none - n/a na chance majority std sd count number".split()
-    + ["our method", "our model", "random baseline", "human expert"]
-)
+    "total", "average", "avg", "mean", "overall", "all", "sum", "ours", "baseline", "random", "human", "others", "other", "none", "-", "n/a", "na", "chance", "majority", "std", "sd",
+    "count", "number", "our method", "our model", "random baseline", "human expert",
+)
 EMPTY = ("", "-", "--", "n/a", "N/A", "—")
 
 
@@ -60,8 +60,17 @@ def measurements(tables: DataFrame) -> DataFrame:
     return candidates(tables).where("drop_reason IS NULL").select(F.substring_index("arxiv_id", "v", 1).alias("paper"), "method", "method_raw", "column", "value", "is_percent", F.concat(F.lit("table:"), "figure_id").alias("source"), caption.alias("caption"))
 
 
-def drop_reasons(tables: DataFrame) -> DataFrame:
-    return candidates(tables).where("drop_reason IS NOT NULL").groupBy("drop_reason").count()
+def with_manifest(transcripts: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tables, unknown) of transcripts(figure_id, markdown): those that the manifest(figure_id, arxiv_id, caption) lists, and the rest."""
+    return transcripts.join(manifest.select("figure_id", "arxiv_id", "caption"), "figure_id").select("figure_id", "arxiv_id", "caption", "markdown"), transcripts.join(manifest, "figure_id", "left_anti").select("figure_id")
+
+
+def drop_reasons(tables: DataFrame, unknown: DataFrame | None = None) -> DataFrame:
+    """Why cells, rows and tables were left out, with counts; ``unknown`` transcripts have no manifest entry."""
+    reasons = candidates(tables).where("drop_reason IS NOT NULL").select("drop_reason")
+    if unknown is not None:
+        reasons = reasons.union(unknown.select(F.lit("no manifest entry")))
+    return reasons.groupBy("drop_reason").count()
 
 
 def joinable(measured: DataFrame, papers: int = 2, most: int = 15) -> DataFrame:

@@ -165,3 +165,32 @@ def nearest_rank(values: DataFrame, column: str, share: float) -> DataFrame:
     n = counted.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
     upto = F.sum("count").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return counted.withColumn("upto", upto).join(F.broadcast(n)).where(F.col("upto") > F.bround(F.lit(share) * (F.col("n") - 1))).agg(F.min(column).alias("value"))
+
+
+def negatives(hits: DataFrame, cases: DataFrame, k: int = 5) -> DataFrame:
+    """Of cases without a relevant source: how many, and the mean of their best scores (0 where nothing was found)."""
+    best = hits.where(F.col("rank") <= k).groupBy("query_id").agg(F.max("score").alias("best"))
+    return cases.select("query_id").join(best, "query_id", "left").agg(F.count(F.lit(1)).alias("negatives"), F.avg(F.coalesce("best", F.lit(0.0))).alias("mean_top_score"))
+
+
+def known_item(asked: DataFrame, hits: DataFrame) -> DataFrame:
+    """Recall at 1 and 5 of asked(query_id), where a query's own document is the one to find."""
+    place = hits.where("query_id = doc_id").select("query_id", "rank")
+    share = lambda k: F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0))
+    return asked.select("query_id").join(place, "query_id", "left").agg(F.count(F.lit(1)).alias("queries"), share(1).alias("recall_1"), share(5).alias("recall_5"))
+
+
+def known_item_verdict(base: DataFrame, other: DataFrame, least: float = -0.005) -> DataFrame:
+    """Both recalls of two corpora (a row each), their differences, and whether the second one harms."""
+    b, o = (x.select(*[F.col(c).alias(f"{n}_{c}") for c in ("recall_1", "recall_5")]) for n, x in (("base", base), ("other", other)))
+    both = b.crossJoin(o).withColumn("delta_1", F.col("other_recall_1") - F.col("base_recall_1")).withColumn("delta_5", F.col("other_recall_5") - F.col("base_recall_5"))
+    return both.withColumn("verdict", F.when(F.least("delta_1", "delta_5") < least, "harms").otherwise("harmless"))
+
+
+def arms_table(arms: dict[str, DataFrame], cases: DataFrame, k: int = 5) -> DataFrame:
+    """Recall and reciprocal ranks of several retrievers over the same cases and export, total and by tag: a column ``arm``."""
+    ranks = None
+    for name, hits in arms.items():
+        part = first_ranks(cases, hits).withColumn("arm", F.lit(name))
+        ranks = part if ranks is None else ranks.unionByName(part)
+    return recall_mrr(ranks, k, ["arm"])

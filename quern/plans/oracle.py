@@ -35,7 +35,7 @@ def _dense(k: int, shift: int = 0, name: str = "dense") -> str:
   FROM benchmark JOIN embeddings q ON q.vec_id = item_id + {shift}, embeddings v) WHERE rank <= {k})"""
 
 
-_QRELS = """qrels AS (SELECT b.item_id AS query_id, d.doc_id, CASE WHEN contains(d.text, substr(b.text, 1, 80)) THEN 2 ELSE 1 END AS rel
+_QRELS = """qrels AS (SELECT b.item_id AS query_id, d.doc_id, CASE WHEN contains(d.text, b.text) THEN 2 ELSE 1 END AS rel
   FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, substr(b.text, 1, 24)))"""
 _CASES = """cases AS (SELECT query_id, min_by(lang, doc_id) AS tag, list(doc_id ORDER BY doc_id) AS relevant FROM qrels JOIN documents USING (doc_id) WHERE rel = 2 GROUP BY query_id)"""
 
@@ -165,8 +165,8 @@ SELECT doc_id, CAST(seg AS BIGINT) AS seg_no, coalesce(max(text) FILTER (head),
     out["augmented_corpora"] = "SELECT 'base' AS corpus_id, count(*) AS chunks, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE lang <> 'es' UNION ALL SELECT 'augmented', count(*), CAST(sum(n_chars) AS BIGINT) FROM documents"
     out["index_health"] = "SELECT count(*) AS chunks, count(DISTINCT source) AS sources, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END AS status, count(*) <= 80000 AS exact_search FROM documents"
     out["corpus_fingerprint"] = "SELECT count(*) AS chunks, CAST(sum(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM documents"
-    out["list_sources_first_title"] = "SELECT source, min_by(substr(text, 1, 40), doc_id) AS title, count(*) AS chunks FROM documents GROUP BY source"
-    out["context_block"] = f"WITH {_bm25(5)}, c AS (SELECT query_id, string_agg('[' || rank || '] ' || source || ' (2024) — ' || lang || chr(10) || regexp_replace('as [6, 14] say ' || substr(text, 1, 300), '\\[\\d+(?:\\s*,\\s*\\d+)*\\]', '', 'g'), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM sparse JOIN documents USING (doc_id) GROUP BY query_id) SELECT query_id, md5(context) AS context_md5, length(context) AS n_chars FROM c"
+    out["list_sources_first_title"] = "SELECT source, min_by(md5(text), doc_id) AS title, count(*) AS chunks FROM documents GROUP BY source"
+    out["context_block"] = f"WITH {_bm25(5)}, c AS (SELECT query_id, string_agg('[' || rank || '] ' || source || ' (2024) — ' || lang || chr(10) || regexp_replace('as [6, 14] say ' || coalesce(text, ''), '\\[\\d+(?:\\s*,\\s*\\d+)*\\]', '', 'g'), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM sparse JOIN documents USING (doc_id) GROUP BY query_id) SELECT query_id, md5(context) AS context_md5, length(context) AS n_chars FROM c"
     out["citation_check"] = "WITH a AS (SELECT doc_id, doc_id % 6 AS n, list_sort(list_distinct(list_filter([doc_id % 9, 2, 99, n_chars % 30], lambda x: x >= 1 AND x <= doc_id % 6))) AS c FROM documents) SELECT doc_id AS query_id, coalesce(array_to_string(c, ','), '') AS cited, len(c) > 0 AS grounded FROM a"
     out["strip_cites"] = r"SELECT doc_id, md5(regexp_replace('POPE [17] and refs [6, 14, 17, 28] ' || text || ' [x] [1,2] [3 , 4]', '\[\d+(?:\s*,\s*\d+)*\]', '', 'g')) AS text_md5 FROM documents"
     out["token_dilution"] = r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(substr(text, 1, 100)), '[a-z0-9][a-z0-9\-]{2,}') AS c, len(regexp_extract_all(lower(substr(text, 101)), '[a-z0-9][a-z0-9\-]{2,}')) AS d FROM documents),
@@ -188,10 +188,6 @@ m AS (SELECT *, max(x1) OVER (PARTITION BY user_id ORDER BY x0, x1 ROWS BETWEEN
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR x0 > reach + 12 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m)
 SELECT user_id, CAST(island AS BIGINT) AS island, round(min(x0), 3) AS lo, round(max(x1), 3) AS hi FROM i GROUP BY user_id, island"""
     out["rejoined_lines"] = r"SELECT doc_id, md5(replace(regexp_replace(regexp_replace(regexp_replace('frac-' || chr(10) || 'tion of' || chr(10) || 'the' || chr(10) || 'Thing' || repeat(chr(10), 4) || 'End' || chr(10) || text, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), '\n([a-z])', ' \1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '', '')) AS text_md5 FROM documents"
-    # results of the small inline inputs, worked out by hand
-    out["measurement_facts"] = "SELECT * FROM (VALUES ('2401.1', 'net a', 'Net A (ours)', 'Acc', 71.2::DOUBLE, true, 'table:f1', 'Table 1: scores'), ('2401.1', 'net a', 'Net A (ours)', 'F1', 0.5, false, 'table:f1', 'Table 1: scores'), ('2401.1', 'net-b', 'Net-B', 'Acc', 1204, false, 'table:f1', 'Table 1: scores'), ('2401.1', 'net c', 'Net C', 'col3', 7, false, 'table:f1', 'Table 1: scores'), ('2402.7', 'net a', 'net a', 'Acc', 70, false, 'table:f2', '')) t(paper, method, method_raw, \"column\", value, is_percent, source, caption)"
-    out["measurement_drops"] = "SELECT * FROM (VALUES ('non-entity row label', 1::BIGINT), ('ambiguous cell', 1), ('numeric row label', 1), ('percent out of range', 1), ('non-numeric cell', 2), ('empty row label', 1), ('unparseable table', 1)) t(drop_reason, \"count\")"
-    out["joinable_methods"] = "SELECT 'net a' AS method, 2::BIGINT AS papers"
     out["figure_captions"] = f"WITH {_BLOCKS} SELECT figure_id, kind, number, md5(caption) AS caption_md5, block_no FROM caps"
     beside = "JOIN blocks b ON b.doc_id = c.doc_id AND b.page = c.page AND b.x1 > c.x0 AND b.x0 < c.x1"
     out["band_overlap"] = f"""WITH {_BLOCKS},

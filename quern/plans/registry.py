@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quern.checkpoints import checkpoint_dir, cut
 from quern.config import Config
 from quern.functions import text as tx
-from quern.operators import answers, chunking, geometry, maintenance, measurements, metrics, retrieval, search
+from quern.operators import answers, chunking, geometry, maintenance, metrics, retrieval, search
 from quern.plans import oracle
 from quern.sources import corpora
 
@@ -70,10 +70,10 @@ def _every_50th(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _qrels(spark: SparkSession, d: str) -> DataFrame:
-    """Grade 2: the document holds the item's first 80 characters; 1: its first 24."""
+    """Grade 2: the document holds the whole item; 1: its first 24 characters."""
     asked = _queries(spark, d)
     met = search.containing(_docs(spark, d), asked.select("query_id", F.substring("text", 1, 24).alias("needle")))
-    whole = retrieval.small(asked.select("query_id", F.substring("text", 1, 80).alias("whole")))
+    whole = retrieval.small(asked.select("query_id", F.col("text").alias("whole")))
     return cut(met.join(whole, "query_id").select("query_id", "doc_id", F.when(F.contains("text", "whole"), 2).otherwise(1).alias("rel")))
 
 
@@ -306,11 +306,11 @@ def corpus_fingerprint(s, d):
 
 
 def list_sources_first_title(s, d):
-    return answers.list_sources(_docs(s, d).withColumn("title", F.substring("text", 1, 40)), "source", "title", "doc_id")
+    return answers.list_sources(_docs(s, d).withColumn("title", F.md5("text")), "source", "title", "doc_id")
 
 
 def context_block(s, d):
-    hits = _sparse(s, d, 5).join(_docs(s, d).select("doc_id", F.col("source").alias("title"), F.lit("2024").alias("published"), F.col("lang").alias("section"), F.concat(F.lit("as [6, 14] say "), F.substring("text", 1, 300)).alias("text")), "doc_id")
+    hits = _sparse(s, d, 5).join(_docs(s, d).select("doc_id", F.col("source").alias("title"), F.lit("2024").alias("published"), F.col("lang").alias("section"), F.concat(F.lit("as [6, 14] say "), F.coalesce("text", F.lit(""))).alias("text")), "doc_id")
     return answers.context_block(hits).select("query_id", F.md5("context").alias("context_md5"), F.length("context").cast("long").alias("n_chars"))
 
 
@@ -395,27 +395,7 @@ def rejoined_lines(s, d):
     return _docs(s, d).select("doc_id", F.md5(tx.rejoin_lines(F.concat(F.lit("frac-\ntion of\nthe\nThing\n\n\n\nEnd\n"), F.col("text")))).alias("text_md5"))
 
 
-# --- small inline inputs ---
-TABLES = [
-    ("f1", "2401.1v2", "Table 1:  scores", "| Method | Acc | F1 |\n|---|---|---|\n| **Net A** (ours) | 71.2% | 0.5 |\n| Average | 1 | 2 |\n| Net-B | 1,204 | 3/4 |\n| 12 | 5 | 6 |\n| Net C | 140% | - | 7 |"),
-    ("f2", "2402.7v1", None, "| Model | Acc |\n| --- | --- |\n| net a | 70 |\n|  | 1 |\n| Net C | n/a |"),
-    ("f3", "2403.9", "no table", "just text"),
-]
-TABLES_SCHEMA = "figure_id string, arxiv_id string, caption string, markdown string"
-
-
-def measurement_facts(s, d):
-    return measurements.measurements(s.createDataFrame(TABLES, TABLES_SCHEMA))
-
-
-def measurement_drops(s, d):
-    return measurements.drop_reasons(s.createDataFrame(TABLES, TABLES_SCHEMA))
-
-
-def joinable_methods(s, d):
-    return measurements.joinable(measurements.measurements(s.createDataFrame(TABLES, TABLES_SCHEMA)))
-
-
+# --- page geometry ---
 def _blocks(s, d):
     """Blocks of pages in two columns, one for each line of a document; some lines get a caption's prefix."""
     line = _docs(s, d).where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
@@ -463,11 +443,15 @@ def queries() -> dict[str, Query]:
         expanded_queries, multi_variant_rrf, reranked, figure_search, paper_vs_chunk_mrr, recall_mrr_by_tag, ablation_pivot, ndcg_map_recall, judged_queries, gate_threshold_sweep, gate_separation,
         gate_extremes, chunk_windows, section_segments, noise_filter, body_sizes, idempotent_append, todo_anti_join, prune_plan, figure_reindex, augmented_corpora, index_health, corpus_fingerprint,
         list_sources_first_title, context_block, citation_check, strip_cites, token_dilution, answerability, failure_diagnosis, figure_displacement, metric_deltas, candidate_audit,
-        corpus_overlap_substring, longest_per_group, latency_percentiles, interval_merge, lsh_topk, stemmed_bm25, nfkd_clean, rejoined_lines, measurement_facts, measurement_drops, joinable_methods,
+        corpus_overlap_substring, longest_per_group, latency_percentiles, interval_merge, lsh_topk, stemmed_bm25, nfkd_clean, rejoined_lines,
         figure_captions, band_overlap, band_contents, section_pattern,
     ]
-    return {f.__name__: f for f in named}
+    from quern.plans import more
+
+    return {f.__name__: f for f in named} | more.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql()
+    from quern.plans import more
+
+    return oracle.sql() | more.sql()

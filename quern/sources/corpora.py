@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.functions.text import as_list, collapse
 
@@ -80,6 +85,50 @@ def cases(spark: SparkSession, path: str, tag: str | None = None) -> tuple[DataF
     return rows.where(some), rows.where(~some)
 
 
+SPAN = "doc_id string, page int, block_no int, line_no int, span_no int, text string, size double, bold boolean"
+
+
+def lines(spans: DataFrame) -> DataFrame:
+    """(doc_id, line_no, text, size, bold) of spans(doc_id, page, block_no, line_no, span_no, text, size, bold), as a PDF
+    reader gives them: texts joined in order, size and weight of the first span, empty lines out, numbered through the document."""
+    own = ["doc_id", "page", "block_no", "line_no"]
+    parts = F.array_sort(F.collect_list(F.struct("span_no", "text", "size", "bold")))
+    joined = spans.groupBy(*own).agg(parts.alias("s")).select(*own, F.trim(F.array_join(F.transform("s", lambda x: x["text"]), "")).alias("text"), F.col("s")[0]["size"].alias("size"), F.col("s")[0]["bold"].alias("bold"))
+    order = Window.partitionBy("doc_id").orderBy("page", "block_no", "line_no")
+    return joined.where("text <> ''").select("doc_id", (F.row_number().over(order) - 1).alias("n"), "text", "size", "bold").withColumnRenamed("n", "line_no")
+
+
+def parse_many(files: DataFrame, parse: Callable[[str, bytes], list[str]], id_col: str = "path", data_col: str = "content") -> DataFrame:
+    """(id, chunks, error): ``parse`` on each input by itself; one that raises gives its error, not the end of the run."""
+    schema = T.StructType([T.StructField("id", files.schema[id_col].dataType), T.StructField("chunks", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            chunks, errors = [], []
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    chunks.append(list(parse(name, data)))
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001 - whatever a parser does is a result here
+                    chunks.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(chunks, pa.list_(pa.string())), pa.array(errors, pa.string())], ["id", "chunks", "error"])
+
+    return files.select(id_col, data_col).mapInArrow(run, schema)
+
+
+def write_json(rows: DataFrame, path: str, key: str) -> None:
+    """A table of results (figure manifests, descriptions, measurements) as JSON lines, sorted by its key within files."""
+    rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.mode("overwrite").json(path)
+
+
+def review_report(drafts: DataFrame) -> DataFrame:
+    """(place, value): a review file of drafts(id, query, verdict), the doubtful ones first; ``review_rows`` reads it back once KEEP or DROP is decided."""
+    order = F.when(F.col("verdict") == "MISS", 0).when(F.col("verdict") == "AMBIG", 1).otherwise(2)
+    mark = F.when(F.col("verdict") == "OK", "KEEP").otherwise("DROP")
+    return drafts.select(F.struct(order.alias("o"), "id").alias("place"), F.concat(F.lit("- ["), mark, F.lit("] "), "id", F.lit("  ("), "verdict", F.lit(") "), "query").alias("value"))
+
+
 def figures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(FIGURE).json(path).dropDuplicates(["figure_id"])
 

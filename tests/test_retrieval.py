@@ -290,7 +290,7 @@ def test_registry_and_oracle_agree(spark, sf):
     for t in ("documents", "benchmark", "embeddings", "pages", "labels", "events"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     q, o = registry.queries(), registry.oracle_sql()
-    for name in ("bm25_topk", "hybrid_rrf", "chunk_windows", "section_segments", "multi_variant_rrf", "measurement_facts"):
+    for name in ("bm25_topk", "hybrid_rrf", "chunk_windows", "section_segments", "multi_variant_rrf", "measured"):
         df = q[name](spark, sf)
         cols = sorted(df.columns)
         r = db.execute(o[name])

@@ -115,3 +115,55 @@ def test_append_counts_a_key_once(spark):
     s = "chunk_id string, section string"
     stored, new = spark.createDataFrame([("a", "x")], s), spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "x"), ("c", "24\nREFERENCES")], s)
     assert sorted(r.chunk_id for r in maintenance.append(stored, new).collect()) == ["a", "b"]
+
+
+def test_models_are_made_once_in_a_worker(spark):
+    from quern.functions.workers import embed, once
+
+    assert once("x", lambda: [1]) is once("x", lambda: [2])
+    rows = spark.createDataFrame([(k, "t" * k if k else None) for k in range(130)], "query_id long, text string").coalesce(1)
+
+    def make():
+        made = []
+
+        def model(texts):
+            made.append(len(texts))
+            return [[float(len(t)), float(len(made) > 0)] for t in texts]
+
+        return model
+
+    assert sorted((r.query_id, r.vector[0]) for r in embed(rows, make).collect()) == [(k, float(k)) for k in range(130)]
+
+
+def test_one_bad_input_does_not_end_the_run(spark):
+    def parse(name, data):
+        return [data.decode()] if name != "b" else 1 / 0
+
+    files = spark.createDataFrame([("a", b"one"), ("b", b"two"), ("c", None)], "path string, content binary")
+    got = {r.id: (r.chunks, r.error) for r in corpora.parse_many(files, parse).collect()}
+    assert got["a"] == (["one"], None) and got["b"] == (None, "ZeroDivisionError: division by zero") and got["c"][0] is None and got["c"][1].startswith("AttributeError")
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from quern.__main__ import main
+
+    word = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 400").first().text.split()[5]
+    main([word, "--docs", f"{sf}/documents.parquet", "--index", str(tmp_path / "i")])
+    assert "[1] " in capsys.readouterr().out
+
+
+def test_pages_are_escaped(spark):
+    from quern.operators.answers import page_of_hits
+
+    hits = spark.createDataFrame([(1, 2, "b", "s", "x"), (1, 1, "<a>", "s & t", "it's")], "query_id int, rank int, title string, section string, text string")
+    assert page_of_hits(hits).first().html == "<ol><li><cite>&lt;a&gt; — s &amp; t</cite><p>it&#39;s</p></li><li><cite>b — s</cite><p>x</p></li></ol>"
+
+
+def test_figure_search_without_figures(spark):
+    from quern.operators.retrieval import figure_status
+
+    asked = spark.createDataFrame([(1,), (2,)], "query_id int")
+    found = spark.createDataFrame([(1, "f")], "query_id int, doc_id string")
+    figs = found.select("doc_id")
+    assert {r.query_id: r.status for r in figure_status(asked, found, figs).collect()} == {1: "ok", 2: "no hit"}
+    assert {r.status for r in figure_status(asked, found.limit(0), figs.limit(0)).collect()} == {"no figures indexed"}
