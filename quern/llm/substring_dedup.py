@@ -7,7 +7,8 @@ the non-overlapping ``block`` (25) word blocks of either.  So:
    rolling 25-word window to hash buckets; a bucket answers, a bit for each hash, which are a
    block somewhere and occur in two documents or more (an anchor hit);
 2. *extend*: around each hit, the 50-word windows that hold it are the candidates.  Their
-   96-bit hashes meet in buckets, which find the smallest document that has each; runs of
+   96-bit hashes, compared whole at every step (two of 1e13 different windows agree with a
+   probability of 6e-4), meet in buckets, which find the smallest document that has each; runs of
    windows found elsewhere are the maximal exact repeats;
 3. *remove*: a word goes if a window over it also starts in a document with a smaller id.
 
@@ -41,6 +42,25 @@ def _groups_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
 
 
+def _pairs_of(h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same by both hashes of a window."""
+    order = np.lexsort((k, h))
+    hh, kk = h[order], k[order]
+    return order, np.flatnonzero(np.concatenate([[True], (hh[1:] != hh[:-1]) | (kk[1:] != kk[:-1])])) if len(h) else np.zeros(0, np.int64)
+
+
+def _slots(h: np.ndarray, k: np.ndarray, mine: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows (mine, own) stand among sorted (h, k), and whether they do."""
+    slot = np.searchsorted(h, mine)
+    last = len(h) - 1
+    while True:
+        at = np.minimum(slot, last)
+        other = (slot <= last) & (h[at] == mine) & (k[at] != own)
+        if not other.any():
+            return at, (slot <= last) & (h[at] == mine)
+        slot[other] += 1
+
+
 def _several(doc: np.ndarray, order: np.ndarray, runs: np.ndarray) -> np.ndarray:
     """For each run, whether it has two documents or more."""
     d = doc[order]
@@ -85,14 +105,14 @@ class _Group:
         return np.flatnonzero((np.cumsum(mark[:-1]) > 0) & (self.left >= self.window))
 
     def window_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the windows at these starts."""
+        """Two hashes of the windows at these starts, of 64 and 32 bits."""
         half, rest = self.block, self.window - 2 * self.block
         a, b = self.rolled[at], self.rolled[at + half]
         h, k = join_hash(a, b, 5), join_hash(a, b, 9)
         for i in range(rest):
             w = self.wh[at + 2 * half + i]
             h, k = join_hash(h, w, 5), join_hash(k, w, 9)
-        return h, k
+        return h, k >> U(32)
 
 
 def _sender(layout: x.Layout, window: int, block: int):
@@ -156,7 +176,7 @@ def _extender(layout: x.Layout, window: int, block: int):
         if not len(at):
             return _rows([])
         h, k = own.window_hashes(at)
-        order, runs = _groups_of(h)
+        order, runs = _pairs_of(h, k)
         h, k = h[order][runs], k[order][runs]
         ids = own.ids[own.tokens.doc[at]]
         least = np.minimum.reduceat(ids[order], runs)
@@ -166,7 +186,7 @@ def _extender(layout: x.Layout, window: int, block: int):
         for j, (lo, hi) in enumerate(_split(h, bounds)):
             if hi > lo:
                 used, inv = np.unique(code[lo:hi], return_inverse=True)
-                body = x.pack_bits(several[lo:hi]) + x.pack_sorted(h[lo:hi] - bounds[j]) + x.planes(k[lo:hi] >> U(48)) + x.planes(inv.astype(U)) + table[used].astype("<i8").tobytes()
+                body = x.pack_bits(several[lo:hi]) + x.pack_sorted(h[lo:hi] - bounds[j]) + x.planes(k[lo:hi]) + x.planes(inv.astype(U)) + table[used].astype("<i8").tobytes()
                 out.append((j, g, int(hi - lo), body))
         return _rows(out)
 
@@ -189,9 +209,7 @@ def _answer_windows(table: pa.Table) -> pa.Table:
         least.append(ids[c.astype(np.int64)])
         sev.append(a)
     h, k, own, several = np.concatenate(hs), np.concatenate(ks), np.concatenate(least), np.concatenate(sev)
-    order = np.lexsort((k, h))
-    hh, kk = h[order], k[order]
-    runs = np.flatnonzero(np.concatenate([[True], (hh[1:] != hh[:-1]) | (kk[1:] != kk[:-1])]))
+    order, runs = _pairs_of(h, k)
     size = np.diff(np.concatenate([runs, [len(h)]]))
     first = np.repeat(np.minimum.reduceat(own[order], runs), size)
     repeated = np.repeat((size > 1) | np.logical_or.reduceat(several[order], runs), size)
@@ -202,7 +220,7 @@ def _answer_windows(table: pa.Table) -> pa.Table:
     for g, a, b in zip(gs, cut[:-1], cut[1:], strict=True):
         sel = back[a:b]
         if sel.any():
-            out.append((j, g, int(sel.sum()), x.pack_bits(smaller[a:b][sel]) + x.pack_sorted(h[a:b][sel])))
+            out.append((j, g, int(sel.sum()), x.pack_bits(smaller[a:b][sel]) + x.planes(k[a:b][sel]) + x.pack_sorted(h[a:b][sel])))
     return _rows(out)
 
 
@@ -216,17 +234,17 @@ def _remover(layout: x.Layout, window: int, block: int):
         t, n = own.tokens, docs.num_rows
         gone = np.zeros(len(own.wh), bool)
         if answers.num_rows:
-            hs, flags = [], []
+            hs, ks, flags = [], [], []
             for j, m, p in sorted(zip(answers["bucket"].to_pylist(), answers["n"].to_pylist(), answers["payload"], strict=True), key=lambda r: r[0]):
                 v = memoryview(p.as_buffer())
                 f, u = x.unpack_bits(v, m)
-                hs.append(x.unpack_sorted(v[u:], m)[0] + bounds[j])
+                k, w = x.unplanes(v[u:], m)
+                ks.append(k)
+                hs.append(x.unpack_sorted(v[u + w :], m)[0] + bounds[j])
                 flags.append(f)
-            h, smaller = np.concatenate(hs), np.concatenate(flags)
+            h, k, smaller = np.concatenate(hs), np.concatenate(ks), np.concatenate(flags)
             every = np.flatnonzero((own.left >= window) & _fit(own)[t.doc])
-            mine, _ = own.window_hashes(every)
-            slot = np.minimum(np.searchsorted(h, mine), len(h) - 1)
-            known = h[slot] == mine
+            slot, known = _slots(h, k, *own.window_hashes(every))
             every, slot = every[known], slot[known]
             ids = own.ids[t.doc[every]]
             order, runs = _groups_of(slot)

@@ -6,11 +6,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quern.llm.near_dedup import drop_near_duplicates, near_duplicates
-from quern.llm.substring_dedup import remove_repeats
+from quern.llm.substring_dedup import _slots, remove_repeats
 
 SCHEMA = "doc_id long, text string, g int, bucket string, n_words long, text2 string"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -64,6 +65,12 @@ def test_repeats(spark, window, sizes):
         assert sum(s.end - s.start for s in r.removed) == r.n_removed
 
 
+def test_windows_are_told_apart_by_both_hashes():
+    h, k = np.array([3, 7, 7, 7, 9], np.uint64), np.array([1, 1, 4, 5, 2], np.uint64)
+    at, known = _slots(h, k, np.array([7, 7, 7, 9, 2, 11, 7], np.uint64), np.array([4, 1, 9, 2, 1, 1, 5], np.uint64))
+    assert known.tolist() == [True, True, False, True, False, False, True] and at[known].tolist() == [2, 1, 4, 3]
+
+
 def test_repeats_of_nothing(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
