@@ -151,7 +151,7 @@ def _fingerprinted(ids: list, texts: list[str], anchors: np.ndarray, hold_last:
     })
 
 
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS, CHUNK_ROWS = 1 << 20, 20_000
 
 
 def _within(anchors: np.ndarray):
@@ -166,7 +166,7 @@ def _within(anchors: np.ndarray):
                 ids.append(i)
                 texts.append(t)
                 size += len(t)
-                if size >= CHUNK_CHARS and len(ids) > 1:
+                if (size >= CHUNK_CHARS or len(ids) >= CHUNK_ROWS) and len(ids) > 1:
                     yield from _fingerprinted(ids, texts, anchors, True).to_batches()
                     ids, texts, size = ids[-1:], texts[-1:], len(texts[-1])
         if len(ids) > 1:
