@@ -9,7 +9,8 @@ falls to nothing again (the *dive*).  All lines between a surge and its dive are
 linked ones, too; link text counts as menu, not as length.  Where nothing climbs over the
 threshold, the highest plateau is the article.  Where the page names its article
 (``<article>``, ``<main>``, or an articleBody), the distribution is that of the lines of each
-such element.
+such element -- unless the plateaus of the whole page hold ``teaser`` times as much text outside
+of these elements as was found inside, which makes them teasers: then those of the whole page count.
 
 Defined results: null, empty or markup-only html gives an empty text and 0 characters; a tag
 that is never closed ends with the page (or with the parent, for ``p``, ``li`` and the like); a
@@ -193,7 +194,11 @@ def between_surges(found: list[_Line], window: int = 3, threshold: int = 86) ->
     return keep
 
 
-def main_text(page: str | None, window: int = 3, threshold: int = 86) -> str:
+def _mass(kept: list[_Line]) -> int:
+    return sum(max(0, len(x.text) - 2 * x.linked) for x in kept)
+
+
+def main_text(page: str | None, window: int = 3, threshold: int = 86, teaser: float = 2.0) -> str:
     if not page:
         return ""
     found = lines(page)
@@ -201,18 +206,24 @@ def main_text(page: str | None, window: int = 3, threshold: int = 86) -> str:
     for x in found:
         if x.home:
             parts.setdefault(x.home, []).append(x)
-    kept = [x for part in parts.values() or [found] for x in between_surges(part, window, threshold)]
+    kept = every = between_surges(found, window, threshold)
+    if parts:
+        kept = [x for part in parts.values() for x in between_surges(part, window, threshold)]
+        if _mass([x for x in every if not x.home]) > teaser * _mass(kept):
+            kept = every
     return "\n".join(x.text for x in kept)
 
 
 def extract(pages: DataFrame, html_col: str = "html", window: int = 3, threshold: int = 86) -> DataFrame:
     """``pages`` with ``text`` (its main text) in place of the html; other columns pass through."""
+    mark = "_" * (2 + max((len(c) - len(c.lstrip("_")) for c in pages.columns), default=0)) + "html"  # a name that no column has
     kept = [c for c in pages.columns if c not in (html_col, "text")]
-    schema = StructType([*pages.select(*kept).schema.fields, StructField("text", StringType())])
+    source = pages.select(*[f"`{c}`" for c in kept], F.col(html_col).cast("string").alias(mark))
+    schema = StructType([*source.schema.fields[:-1], StructField("text", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = pa.array((main_text(x.as_py(), window, threshold) for x in b.column(b.schema.get_field_index("_html"))), pa.string())
+            texts = pa.array((main_text(x.as_py(), window, threshold) for x in b.column(len(kept))), pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), texts], [*kept, "text"])
 
-    return pages.select(*kept, F.col(html_col).cast("string").alias("_html")).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)

@@ -52,9 +52,61 @@ def test_surges_and_dives(page, want):
     assert html_text.main_text(page) == want
 
 
+def plain_distribution(blocks, window=3, threshold=86):
+    """blocks: (text, linked characters). Runs of windows that are not empty, without the empty lines they begin with."""
+    length = [max(0, len(t) - 2 * n) for t, n in blocks]
+    total = [sum(length[k : k + window]) for k in range(len(blocks))]
+    runs, run = [], []
+    for k in range(len(blocks)):
+        if total[k] == 0:
+            runs.append(run)
+            run = []
+        elif run or length[k]:
+            run.append(k)
+    runs = [r for r in [*runs, run] if r]
+    over = [r for r in runs if max(total[k] for k in r) > threshold]
+    if not over and runs:
+        top = max(max(total[k] for k in r) for r in runs)
+        over = [r for r in runs if max(total[k] for k in r) == top]
+    return [blocks[k][0] for r in over for k in r]
+
+
+def test_distribution_against_a_plain_version():
+    """Random pages without and with a named article; pages whose article is only a teaser keep their body."""
+    rng = random.Random(6)
+    teasers = 0
+    for _ in range(400):
+        blocks, html = [], []
+        for _ in range(rng.randint(1, 25)):
+            text = " ".join(rng.choice(PROSE) for _ in range(rng.choice([1, 2, 5, 20, 40])))
+            linked = rng.random() < 0.45
+            blocks.append((text, len(text) if linked else 0))
+            html.append(f"<p><a href='/x'>{text}</a></p>" if linked else f"<p>{text}</p>")
+        assert html_text.main_text("<body>" + "".join(html) + "</body>").split("\n") == (plain_distribution(blocks) or [""])
+        cut = rng.randint(0, len(blocks))
+        inner, outer = plain_distribution(blocks[:cut]), plain_distribution(blocks)
+        mass = lambda kept, at: sum(max(0, len(t) - 2 * n) for t, n in at if t in kept)  # noqa: B023, E731
+        page = "<body><article>" + "".join(html[:cut]) + "</article>" + "".join(html[cut:]) + "</body>"
+        if len({t for t, _ in blocks}) < len(blocks) or not cut:
+            continue
+        teaser = mass(outer, blocks[cut:]) > 2 * mass(inner, blocks[:cut])
+        teasers += teaser
+        assert html_text.main_text(page).split("\n") == ((outer if teaser else inner) or [""])
+    assert teasers > 20
+    body = "".join(f"<p>{'long text ' * 12}{i}</p>" for i in range(5))
+    assert html_text.main_text(f"<body><article><p>Short teaser</p></article>{body}</body>").endswith("4")
+
+
+def test_very_long_pages_are_done_whole():
+    page = "<article>" + "".join(f"<p>{'word ' * 200}{i}</p>" for i in range(3000)) + "</article>"
+    assert html_text.main_text(page).count("\n") == 2999
+
+
 def test_extract_keeps_columns(spark):
     rows = [(1, "u", PAGE, "old"), (1, None, None, None)]
-    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    assert html_text.extract(frame.withColumnRenamed("url", "_html")).columns == ["page_id", "_html", "text"]
+    got = html_text.extract(frame).collect()
     assert [r.text for r in got] == ["Big title\nFirst & foremost\nSecond line é€\nTo.", ""]
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -250,6 +302,9 @@ def test_language_model(spark, sf, sizes):
     want = sorted((str(i), held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + len(c) + 1)) for w in ws), 4)) for i, ws in toks)
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
     assert all(r.score < 0 for r in got)
+    for r in got:
+        coded = sum(len(w.encode()) + 1 for w in next(ws for i, ws in toks if i == r.doc_id and len(ws) == r.n_tokens) if w) + 1
+        assert abs(r.bits_per_byte + r.score / math.log10(2) / coded) < 1e-9
 
 
 def test_language_model_is_a_distribution():
@@ -278,3 +333,58 @@ def test_weights_are_learnt_from_all_words():
 
 def test_no_texts(spark):
     assert lm_score.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_scores_of_words_against_a_scalar_version():
+    """Counts, contexts, mixing and refinement, bit by bit in plain numbers."""
+    mask = (1 << 64) - 1
+    words = [b"the", b"then", b"a", b"", "\u00e9t\u00e9".encode(), b"longer-than-eight-bytes"]
+    count = np.array([5, 2, 9, 7, 1, 0])
+    begin = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    types = lm_score.Types(np.frombuffer(b"".join(words), np.uint8), begin)
+
+    def bits(word):
+        """(slots of the five contexts, bit, node) of each bit."""
+        data, whole = word + b" ", 99
+        for place, byte in enumerate(data):
+            h, ctx = (77 + (min(place, 8) << 20)) & mask, []
+            for k in range(5):
+                if k < place:
+                    h = (h + data[place - 1 - k] + 1) * 0x9E3779B97F4A7C15 & mask
+                    h ^= h >> 29
+                if k + 1 in lm_score.ORDERS:
+                    ctx.append(h)
+            ctx.append(whole)
+            node = 1
+            for k in range(7, -1, -1):
+                bit = byte >> k & 1
+                key = node * 0xD6E8FEB86659FD93 & mask
+                yield [((c ^ key) * 0xC2B2AE3D27D4EB4F & mask) >> (64 - b) for c, b in zip(ctx, lm_score.BITS, strict=True)], bit, node
+                node = node * 2 + bit
+            whole = (whole + byte + 1) * 0x9E3779B97F4A7C15 & mask
+            whole ^= whole >> 29
+
+    seen = collections.Counter()
+    for w, c in zip(words, count.tolist(), strict=True):
+        for slots, bit, _ in bits(w):
+            for t, s in enumerate(slots):
+                seen[t, s, bit] += c
+    table = lm_score.count_contexts(types, count)
+    assert {k: v for k, v in seen.items() if v} == {(t, s, b): table[b, lm_score.BASES[t] + s] for (t, s, b), v in seen.items() if v}
+    assert table.sum() == sum(seen.values())
+    mixer = lm_score.Mixer()
+    mixer.learn(table, types, count, float(count.sum()))
+    mixer.share = 0.5
+    got = mixer.score(table, types, count, float(count.sum()))
+    refined = mixer.refined()
+    level = lambda n: sum(n >= e for e in lm_score.SEEN)
+    for i, w in enumerate(words):
+        p = 1.0
+        for slots, bit, node in bits(w):
+            n = [(seen[t, s, 0], seen[t, s, 1]) for t, s in enumerate(slots)]
+            gate = level(sum(n[3])) * 5 + level(sum(n[4]))
+            z = sum(mixer.weight[gate, t] * math.log((b + lm_score.PRIOR) / (a + lm_score.PRIOR)) for t, (a, b) in enumerate(n)) + mixer.weight[gate, 5]
+            one = 1 / (1 + math.exp(-max(-16, min(16, z))))
+            q = 0.5 * one + 0.5 * refined[node, min(max(round(z * 2) + 16, 0), 32)]
+            p *= q if bit else 1 - q
+        assert abs(got[i] - math.log10(0.5 * p + 0.5 * count[i] / count.sum())) < 1e-3
