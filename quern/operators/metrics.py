@@ -56,8 +56,8 @@ def graded_metrics(qrels: DataFrame, runs: DataFrame, by: list[str] | None = Non
     hit = hit.withColumn("cum", F.count(F.lit(1)).over(found))
     per = hit.groupBy(*by, "query_id").agg(F.sum(F.when(F.col("rank") <= cut, F.col("rel") / F.log2(F.col("rank") + F.lit(1.0))).otherwise(0.0)).alias("dcg"), F.count(F.lit(1)).alias("got"), F.sum(F.col("cum") / F.col("rank")).alias("ap"))
     if by:
-        arms = runs.select(*by).distinct()
-        base = arms.join(F.broadcast(ideal)) if ideal.limit(200_001).count() <= 200_000 else arms.crossJoin(ideal)
+        arms = runs.agg(F.collect_set(F.struct(*by)).alias("arms"))  # one row: the few settings that are compared
+        base = ideal.join(F.broadcast(arms)).select(*ideal.columns, F.explode("arms").alias("arm")).select(*ideal.columns, "arm.*")
         scored = base.join(per, [*by, "query_id"], "left")
     else:
         scored = ideal.join(per, "query_id", "left")
@@ -159,12 +159,27 @@ def draft_pool(indexed: DataFrame, labelled: DataFrame, drafted: DataFrame, n: i
     return rest.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
 
 
-def nearest_rank(values: DataFrame, column: str, share: float) -> DataFrame:
-    """Percentile by nearest rank: index round(share * (n - 1)) of the sorted values, halves to even. Values are counted before they are ordered."""
-    counted = values.where(F.col(column).isNotNull()).groupBy(column).count()
-    n = counted.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
-    upto = F.sum("count").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return counted.withColumn("upto", upto).join(F.broadcast(n)).where(F.col("upto") > F.bround(F.lit(share) * (F.col("n") - 1))).agg(F.min(column).alias("value"))
+def nearest_rank(values: DataFrame, column: str, share: float, cells: int = 1000) -> DataFrame:
+    """Percentile by nearest rank: index round(share * (n - 1)) of the sorted values, halves to even.
+
+    Values are counted by cells between approximate quantiles; only the values of the cell where
+    the index falls are put in order, so no task sees all of them."""
+    some = values.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
+    n, edges = some.agg(F.count(F.lit(1)), F.percentile_approx("v", [k / cells for k in range(1, cells)], 10 * cells)).first()
+    if not n:
+        return some.agg(F.min("v").alias("value"))
+    index = round(share * (n - 1))
+    cell = F.size(F.filter(F.array(*[F.lit(e) for e in sorted(set(edges))]), lambda e: e < F.col("v")))
+    counted = some.withColumn("cell", cell).groupBy("cell").count().collect()  # at most ``cells`` rows
+    before, own = 0, 0
+    for r in sorted(counted, key=lambda r: r.cell):
+        if before + r["count"] > index:
+            own = r.cell
+            break
+        before += r["count"]
+    inside = some.withColumn("cell", cell).where(F.col("cell") == own).groupBy("v").count()
+    upto = F.sum("count").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return inside.withColumn("upto", upto).where(F.col("upto") > index - before).agg(F.min("v").alias("value"))
 
 
 def negatives(hits: DataFrame, cases: DataFrame, k: int = 5) -> DataFrame:

@@ -140,4 +140,5 @@ def figure_summary(figures: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def top_ink(figures: DataFrame, k: int = 3) -> DataFrame:
-    return figures.withColumn("place", F.row_number().over(Window.orderBy(F.col("ink").desc(), "figure_id"))).where(F.col("place") <= k)
+    order = [F.col("ink").desc(), F.col("figure_id")]
+    return figures.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # k rows
