@@ -9,8 +9,9 @@ of capacity / weight (exact, in whole tokens, rounded down).
 
 A leaf with budget b and t tokens gives b div t whole epochs and then a prefix, of at most
 b mod t tokens, of its documents in the order of a seeded hash for that epoch.  Running sums
-never pass through one task for a hot leaf: token sums for each of 65536 ranges of the hash
-find the range where the prefix ends, and only that range is ordered row by row.  The result
+never pass through one task for a hot leaf: token sums for each of 256 ranges of the hash find
+the range where the prefix ends, those of 256 and 65536 ranges inside it the next ones, and only
+the last range (a 2**32th of the leaf) is ordered row by row.  The result
 is a cut-off for each leaf, applied to the documents in a map-side filter.
 
 Defined results: a null or empty text has no tokens, costs nothing and goes where its place
@@ -32,6 +33,8 @@ NONE = "(none)"
 LEAF = ["_domain", "_lang", "_source"]
 #: Leaves up to this many are sent to every executor; more are joined by a shuffle.
 MOST_BROADCAST = 20_000
+#: Hexadecimal digits of a place by which the end of a prefix is narrowed down.
+RANGES = (2, 4, 8)
 
 
 def word_count(text: Column) -> Column:
@@ -105,15 +108,17 @@ def mix_sources(docs: DataFrame, domain: Column, lang: Column | None = None, sou
     few = plan.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     side = F.broadcast(plan) if few else plan
 
-    placed = narrow.join(side, LEAF).where("rest > 0").withColumn("place", _place(seed, F.col("whole"), F.col("_id"))).select(*LEAF, "_id", "_tokens", "rest", "place", F.substring("place", 1, 4).alias("range"))
-    sums = placed.groupBy(*LEAF, "rest", "range").agg(F.sum("_tokens").alias("sum"))
-    run = Window.partitionBy(*LEAF).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # the first range whose end is beyond the rest: all ranges before it are taken whole
-    crossing = sums.withColumn("upto", F.sum("sum").over(run)).where("upto > rest").groupBy(*LEAF).agg(F.min(F.struct("range", (F.col("upto") - F.col("sum")).alias("taken"))).alias("c")).select(*LEAF, "c.range", "c.taken")
-    inside = placed.join(F.broadcast(crossing) if few else crossing, [*LEAF, "range"])
-    rows = inside.groupBy(*LEAF, "rest", "taken", "range", "place").agg(F.sum("_tokens").alias("sum"))
-    step = Window.partitionBy(*LEAF).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = rows.withColumn("upto", F.col("taken") + F.sum("sum").over(step)).where("upto > rest").groupBy(*LEAF).agg(F.min("place").alias("stop"))
+    placed = narrow.join(side, LEAF).where("rest > 0").withColumn("place", _place(seed, F.col("whole"), F.col("_id"))).select(*LEAF, "_tokens", "place")
+    # where the prefix ends, by longer and longer beginnings of the place; what comes before is taken whole
+    reached = plan.where("rest > 0").select(*LEAF, "rest", F.lit("").alias("range"), F.lit(0).cast("long").alias("taken"))
+    for digits in (*RANGES, 32):
+        inside = placed.join(F.broadcast(reached) if few else reached, LEAF).where(F.col("place").startswith(F.col("range")))
+        sums = inside.groupBy(*LEAF, "rest", "taken", F.substring("place", 1, digits).alias("next")).agg(F.sum("_tokens").alias("sum"))
+        run = Window.partitionBy(*LEAF).orderBy("next").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        beyond = sums.withColumn("upto", F.col("taken") + F.sum("sum").over(run)).where("upto > rest")
+        first = beyond.groupBy(*LEAF, "rest").agg(F.min(F.struct("next", (F.col("upto") - F.col("sum")).alias("taken"))).alias("c"))
+        reached = first.select(*LEAF, "rest", F.col("c.next").alias("range"), F.col("c.taken").alias("taken"))
+    last = reached.select(*LEAF, F.col("range").alias("stop"))
     # every place below ``stop`` is in the partial epoch
     kept = [f"`{c}`" for c in docs.drop("domain", "n_tokens", "epoch").columns]
     # names of our own that no column of the input has
