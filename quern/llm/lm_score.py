@@ -2,19 +2,25 @@
 
 A text is its lower-cased words and one end. A word is coded as its bytes and a space, a byte
 as eight bits, the end as the space alone; so the bits' probabilities give every text a
-probability.  Five predictors see the bits before in the same word -- the last byte, the last
-two, three, five, and the whole word so far -- and look their context up, hashed with the
-bit's place in the byte, in tables of 0/1 counts over the training tokens.  Their stretched
-probabilities are summed under weights chosen by a gate (how often the two longest contexts
-were seen), which are learnt online, batch after batch, without the token that is being
-predicted (leave-one-out).  A refinement table, by place in the byte and mixed probability,
-maps the mix to what was observed.  The token probability is at last interpolated with the
-token's own frequency, at the share that predicts left-out training tokens best.
-
-All training texts are counted: slices of documents send their distinct words, with counts,
-to buckets of the word hash; buckets merge them, count contexts for each distinct word once,
-and score each distinct word once.  Slices then sum over their documents.  Table sizes are
-parameters and do not grow; everything else is dealt over slices and buckets.
+probability.  Five predictors see the coded text before -- the last byte, the last two, three
+and five, over the word's edge into the words before, and the word so far -- and look their
+context up, hashed with the bit's place in the byte, in tables of 0/1 counts over the training
+tokens.  Their stretched probabilities are summed under weights chosen by a gate (how often the
+two longest contexts were seen), which are learnt online, batch after batch, without the token
+that is being predicted (leave-one-out).  A refinement table, by place in the byte and mixed
+probability, maps the mix to what was observed.  The token probability is at last interpolated
+with the token's own frequency, at the share that predicts left-out training tokens best.
+
+No context is longer than five bytes or the word so far, so a token's bits fall in two: its
+*head*, the first four bytes, whose contexts reach into the four bytes before the last space;
+and its *rest*, the bytes from the fifth on, whose contexts lie within the word.  A head with
+the bytes before it is one number of eight bytes.  Every distinct head, and the rest of every
+distinct word, is coded once; heads and rests have a table and a set of weights each.
+
+All training texts are counted: slices of documents send their distinct words and heads, with
+counts, to buckets of their hashes; buckets merge them, count contexts for each once, and score
+each once.  Slices then sum over their tokens.  Table sizes are parameters and do not grow;
+everything else is dealt over slices and buckets.
 
 Defined results: a null or empty text is the end alone; a null id is in training (its row's
 held_out is false); rows that repeat an id are scored alike; an empty table gives an empty
@@ -23,7 +29,7 @@ result; without training texts all counts are 0; other columns play no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +39,12 @@ from pyspark.sql import functions as F
 from . import exchange as x
 from .near_dedup import slices
 from .state import cut
-from .tokens import U, hash_slices, take_bytes, tokenize
+from .tokens import Tokens, U, column_bytes, hash_slices, mix, take_bytes, tokenize
 
 #: Bits of the tables of the five contexts.
 BITS = (16, 18, 19, 20, 20)
 ORDERS = (1, 2, 3, 5, 0)  # bytes seen; 0: the whole word so far
+HEAD = 4  # places whose contexts reach over the word's edge
 BASES = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])
 GATES = 25
 INPUTS = len(BITS) + 1
@@ -47,7 +54,7 @@ SEGMENT = 1 << 16
 SPACE = 32
 BATCH = LEARN_BATCH = 8192
 PRIOR = 0.1
-CODEC = "zstd"
+CODEC = pa.Codec("zstd", compression_level=3)
 SEEN = (0.5, 2.5, 20.5, 500.5)
 
 
@@ -56,11 +63,17 @@ def _squash(z: np.ndarray) -> np.ndarray:
 
 
 class Types:
-    """Distinct words, by number of bytes: their bytes in a padded grid, shorter first."""
+    """Distinct words, by number of bytes: their bytes in a padded grid, shorter first. Coded from the place ``first`` on."""
 
-    def __init__(self, buf: np.ndarray, begin: np.ndarray):
+    def __init__(self, buf: np.ndarray, begin: np.ndarray, first: int = 0):
         self.size = np.diff(begin)
-        self.buf, self.begin = buf, begin
+        self.buf, self.begin, self.first = buf, begin, first
+
+    def take(self, rows: np.ndarray) -> Types:
+        return Types(*take_bytes(self.buf, self.begin[rows], self.begin[rows + 1], None), self.first)
+
+    def bits(self, rows: np.ndarray, grid: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+        return bits_of(grid, self.size[rows], first=self.first)
 
     def batches(self, batch: int = BATCH, by_size: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(rows, grid of their bytes, each ended by a space)."""
@@ -81,21 +94,45 @@ class Types:
             yield rows, grid
 
 
-def contexts(grid: np.ndarray, place: int, whole: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the contexts before the byte at ``place``; ``whole`` is that of the word so far."""
+class Heads:
+    """Distinct heads: the four bytes before the last space (0: before the text), then the first four of the word and its space, padded by spaces."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        raw = np.ascontiguousarray(keys.astype(">u8")).view(np.uint8).reshape(-1, 2 * HEAD)
+        self.before, self.grid = raw[:, :HEAD], raw[:, HEAD:]
+        self.size = np.where((self.grid == SPACE).any(1), (self.grid == SPACE).argmax(1), HEAD)
+
+    def take(self, rows: np.ndarray) -> Heads:
+        return Heads(self.keys[rows])
+
+    def batches(self, batch: int = BATCH, by_size: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, len(self.keys), batch):
+            rows = np.arange(i, min(i + batch, len(self.keys)))
+            yield rows, self.grid[rows]
+
+    def bits(self, rows: np.ndarray, grid: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+        before = self.before[rows]
+        return bits_of(grid, self.size[rows], np.concatenate([before, np.full((len(rows), 1), SPACE, np.uint8)], 1))
+
+
+def contexts(grid: np.ndarray, place: int, whole: np.ndarray, before: np.ndarray | None = None) -> list[np.ndarray]:
+    """Hashes of the contexts before the byte at ``place``; ``whole`` is that of the word so far. ``before``: the bytes before the word."""
     out = []
     h = np.full(len(grid), 77 + (min(place, 8) << 20), U)
     for k in range(max(ORDERS)):
-        if k < place:
-            h = (h + grid[:, place - 1 - k].astype(U) + U(1)) * U(0x9E3779B97F4A7C15)
+        if k < place or before is not None:
+            byte = grid[:, place - 1 - k] if k < place else before[:, place - 1 - k]
+            h = (h + byte.astype(U) + U(1)) * U(0x9E3779B97F4A7C15)
             h ^= h >> U(29)
         if k + 1 in ORDERS:
             out.append(h)
     return [*out, whole]
 
 
-def bits_of(grid: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
-    """(live rows, slots of the five contexts, bit, node) of every bit of the words in a grid. ``node``: the bits of the byte so far after a leading 1."""
+def bits_of(grid: np.ndarray, size: np.ndarray, before: np.ndarray | None = None, first: int = 0) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(live rows, slots of the five contexts, bit, node) of every bit, from the place ``first`` on, of the words in a grid; ``before``: the bytes before
+    each word. ``node``: the bits of the byte so far after a leading 1."""
     live = np.arange(len(grid))
     whole = np.full(len(grid), 99, U)
     for place in range(grid.shape[1]):
@@ -105,10 +142,10 @@ def bits_of(grid: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, li
         if not len(live):
             return
         sub = grid[live]
-        ctx = contexts(sub, place, whole)
         byte = sub[:, place].astype(np.int64)
         node = np.ones(len(live), np.int64)
-        for k in range(7, -1, -1):
+        ctx = contexts(sub, place, whole, None if before is None else before[live]) if place >= first else []
+        for k in range(7, -1, -1) if place >= first else ():
             bit = (byte >> k) & 1
             key = node.astype(U) * U(0xD6E8FEB86659FD93)
             yield live, [((c ^ key) * U(0xC2B2AE3D27D4EB4F) >> U(64 - b)).view(np.int64) + base for c, b, base in zip(ctx, BITS, BASES, strict=False)], bit, node
@@ -117,7 +154,7 @@ def bits_of(grid: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, li
         whole ^= whole >> U(29)
 
 
-def count_contexts(types: Types, count: np.ndarray) -> np.ndarray:
+def count_contexts(types: Types | Heads, count: np.ndarray) -> np.ndarray:
     """Counts of 0 and 1 in every slot, over the words with their counts."""
     table = np.zeros((2, BASES[-1]), np.float32)
     flat, width = table.reshape(-1), int(BASES[-1])
@@ -127,7 +164,7 @@ def count_contexts(types: Types, count: np.ndarray) -> np.ndarray:
         if not some.any():
             continue
         rows, grid, c = rows[some], grid[some], c[some].astype(np.float32)
-        for live, slot, bit, _ in bits_of(grid, types.size[rows]):
+        for live, slot, bit, _ in types.bits(rows, grid):
             at, w = bit * width, c[live]
             for s in slot:
                 np.add.at(flat, s + at, w)
@@ -152,105 +189,173 @@ class Mixer:
         middle = _squash((np.arange(LEVELS) - LEVELS // 2) / 2)
         return (self.seen[1] + 30 * middle) / (self.seen[0] + self.seen[1] + 30)
 
-    def learn(self, table: np.ndarray, types: Types, count: np.ndarray, total: float, rate: float = 0.15) -> np.ndarray:
-        """One online pass over all training words, in random order. Log-likelihoods of the tokens left out for each of SHARES."""
-        gains = np.zeros(len(SHARES))
+    @staticmethod
+    def _left_out(table: np.ndarray, slot: list[np.ndarray], bit: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Stretched predictions and gates of the bits, each without its own token."""
+        one = bit.astype(np.float32)
+        zero, inputs, gate = 1 - one, [], np.zeros(len(bit), np.int64)
+        for k, s in enumerate(slot):
+            n1 = np.maximum(table[1][s] - one, 0)
+            n0 = np.maximum(table[0][s] - zero, 0)
+            inputs.append(np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR))))
+            if k >= len(slot) - 2:
+                n0 += n1
+                gate *= 5
+                for e in SEEN:
+                    gate += n0 >= e
+        return inputs, gate
+
+    def learn(self, table: np.ndarray, types: Types | Heads, count: np.ndarray, _total: float = 0.0, rate: float = 0.15) -> None:
+        """One online pass over all training words, in random order, each predicted without one of its tokens."""
         squares = np.full(self.weight.shape, 1e-3)
         drawn = np.random.default_rng(5).permutation(np.flatnonzero(count > 0))
-        buf, begin = take_bytes(types.buf, types.begin[drawn], types.begin[drawn + 1], None)
-        some, c = Types(buf, begin), count[drawn].astype(float)
+        some, c = types.take(drawn), count[drawn].astype(float)
         for rows, grid in some.batches(LEARN_BATCH, False):
-            w = c[rows]
-            say = np.minimum(w, 50.0)  # many tokens of one word teach less than as many of several
-            logp = np.zeros(len(rows))
-            refined = self.refined()
-            for live, slot, bit, node in bits_of(grid, some.size[rows]):
-                inputs = np.ones((len(live), INPUTS))
-                gate = np.zeros(len(live), np.int64)
-                for k, s in enumerate(slot):
-                    n1 = np.maximum(table[1, s] - bit, 0)
-                    n0 = np.maximum(table[0, s] - (1 - bit), 0)
-                    inputs[:, k] = np.log((n1 + PRIOR) / (n0 + PRIOR))
-                    if k >= len(slot) - 2:
-                        gate = gate * 5 + np.digitize(n0 + n1, SEEN)
-                z = np.einsum("ij,ij->i", inputs, self.weight[gate])
+            say = np.minimum(c[rows], 50.0)  # many tokens of one word teach less than as many of several
+            for live, slot, bit, node in some.bits(rows, grid):
+                inputs, gate = self._left_out(table, slot, bit)
+                z = self.weight[:, -1][gate]
+                for k, v in enumerate(inputs):
+                    z += self.weight[:, k][gate] * v
                 p, level = _squash(z), self._level(z)
-                q = 0.5 * p + 0.5 * refined[node, level]
-                logp[live] += np.log(np.where(bit == 1, q, 1 - q))
                 v = say[live]
                 err = (bit - p) * v
-                step = np.stack([np.bincount(gate, weights=err * inputs[:, k], minlength=GATES) for k in range(INPUTS)], 1)
+                step = np.stack([np.bincount(gate, weights=err * k, minlength=GATES) for k in [*inputs, 1.0]], 1)
                 step /= np.maximum(np.bincount(gate, weights=v, minlength=GATES), 1)[:, None]
                 squares += step * step
                 self.weight += rate * step / np.sqrt(squares)
                 self.seen += np.bincount((bit * 256 + node) * LEVELS + level, weights=v, minlength=self.seen.size).reshape(self.seen.shape)
-            own = (w - 1) / max(total - 1, 1)
-            for i, s in enumerate(SHARES):
-                gains[i] += (w * np.log(np.maximum(s * own + (1 - s) * np.exp(np.maximum(logp, -600)), 1e-280))).sum()
-        return gains
 
-    def score(self, table: np.ndarray, types: Types, count: np.ndarray, total: float) -> np.ndarray:
-        """log10 probability of each word."""
+    def score(self, table: np.ndarray, types: Types | Heads, count: np.ndarray, total: float, left: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each word. ``left`` gets what it is for training words where one of their tokens is not counted."""
         stretch = np.log((table[1] + PRIOR) / (table[0] + PRIOR)).astype(np.float32)
         often = np.digitize(table[0] + table[1], SEEN).astype(np.uint8)
-        refined = self.refined().reshape(-1)
+        refined = self.refined().reshape(-1).astype(np.float32)
         weight = np.ascontiguousarray(self.weight.T.astype(np.float32))
+
+        def said(inputs: Iterable[np.ndarray], gate: np.ndarray, bit: np.ndarray, node: np.ndarray) -> np.ndarray:
+            z = weight[-1][gate]
+            for k, v in enumerate(inputs):
+                z += weight[k][gate] * v
+            q = np.float32(0.5) * _squash(z) + np.float32(0.5) * refined[node * LEVELS + self._level(z)]
+            return np.log(np.where(bit == 1, q, 1 - q))
+
         out = np.zeros(len(types.size))
         for rows, grid in types.batches():
-            logp = np.zeros(len(rows))
-            for live, slot, bit, node in bits_of(grid, types.size[rows]):
-                gate = often[slot[-2]].astype(np.int64) * 5 + often[slot[-1]]
-                z = weight[-1][gate]
-                for k, s in enumerate(slot):
-                    z += weight[k][gate] * stretch[s]
-                q = 0.5 * _squash(z) + 0.5 * refined[node * LEVELS + self._level(z)]
-                logp[live] += np.log(np.where(bit == 1, q, 1 - q))
-            out[rows] = logp
-        if total and self.share:
-            with np.errstate(divide="ignore"):
-                out = np.logaddexp(out + np.log(1 - self.share), np.log(self.share * count / total))
-        return out / np.log(10)
+            logp, less = np.zeros(len(rows)), np.zeros(len(rows))
+            known = count[rows] > 0
+            for live, slot, bit, node in types.bits(rows, grid):
+                logp[live] += said((stretch[s] for s in slot), often[slot[-2]].astype(np.int64) * 5 + often[slot[-1]], bit, node)
+                if left is not None:
+                    on = known[live]
+                    if not on.all():
+                        live, slot, bit, node = live[on], [s[on] for s in slot], bit[on], node[on]
+                    less[live] += said(*self._left_out(table, slot, bit), bit, node)
+            out[rows] = logp / np.log(10)
+            if left is not None:
+                left[rows] = less / np.log(10)
+        return interpolated(out, count / total, self.share) if total and self.share else out
+
+
+def interpolated(score: np.ndarray, own: np.ndarray, share: float) -> np.ndarray:
+    """log10 of the probabilities (given as log10) mixed with the tokens' own frequencies."""
+    if not share:
+        return score
+    p = (1 - share) * np.exp(score * np.log(10)) + share * own
+    tiny = p < 1e-290  # of very long words
+    out = np.log(np.where(tiny, 1, p)) / np.log(10)
+    out[tiny] = score[tiny] + np.log10(1 - share)
+    return out
 
 
 def _zip(*parts: bytes) -> bytes:
     raw = bytes([len(parts)]) + np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=CODEC, asbytes=True)
+    return len(raw).to_bytes(8, "little") + CODEC.compress(raw, asbytes=True)
 
 
 def _unzip(data: bytes) -> list[memoryview]:
-    raw = memoryview(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec=CODEC, asbytes=True))
+    raw = memoryview(CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True))
     k = raw[0]
     sizes = np.frombuffer(raw[1 : 1 + 8 * k], np.int64)
     ends = np.cumsum(sizes) + 1 + 8 * k
     return [raw[e - n : e] for e, n in zip(ends, sizes, strict=True)]
 
 
-# --- slices: distinct words, and which of them each document has ---
-def _slice(t: pa.Table, g: int, bounds: np.ndarray) -> list[tuple]:
-    tok = tokenize(t["text"], lower=True)
-    n = t.num_rows
+# --- slices: tokens, their distinct words and heads ---
+class Slice:
+    """Tokens of some texts, the ends last; the distinct words and heads, in the order of the buckets that ``bounds`` divides."""
+
+    def __init__(self, text: pa.Array | pa.ChunkedArray, bounds: tuple[np.ndarray, np.ndarray]):
+        tok = tokenize(text, lower=True)
+        n = len(tok.first) - 1
+        self.buf = tok.buf
+        self.doc = np.concatenate([tok.doc, np.arange(n)])
+        self.start = np.concatenate([tok.start, np.zeros(n, np.int64)])
+        self.end = np.concatenate([tok.end, np.zeros(n, np.int64)])
+        self.tokens = np.diff(tok.first) + 1
+        self.coded = np.bincount(self.doc, weights=self.end - self.start + 1, minlength=n).astype(np.int64)
+        h = np.concatenate([hash_slices(tok.buf, tok.start, tok.end), hash_slices(tok.buf[:0], np.zeros(n, np.int64), np.zeros(n, np.int64))])
+        self.words, self.word, self.sample = _distinct(h)
+        self.word_cuts = np.concatenate([[0], np.searchsorted(self.words, bounds[0][1:-1]), [len(self.words)]])
+        keys, code, _ = _distinct(_heads(tok))
+        bucket = np.searchsorted(bounds[1][1:-1], mix(keys), "right")
+        order = np.argsort(bucket, kind="stable")
+        self.heads, self.head_cuts = keys[order], np.searchsorted(bucket[order], np.arange(len(bounds[1])))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.head = place[code]
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers, sorted; which of them each number is; and a place of each."""
+    out, code = np.unique(h, return_inverse=True)
+    place = np.empty(len(out), np.int64)
+    place[code] = np.arange(len(h))
+    return out, code, place
+
+
+def _heads(tok: Tokens) -> np.ndarray:
+    """The heads of all words, then of the ends, as numbers."""
+    n, size, low = len(tok.first) - 1, np.minimum(tok.end - tok.start, HEAD).astype(U), U(0xFFFFFFFF)
+    padded = np.concatenate([tok.buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(tok.buf) + 1,), ">u8", padded, strides=(1,))
+    bits = size * U(8)
+    begins = (eight[tok.start].astype(U) >> U(32)) >> (U(32) - bits)  # the first four bytes, or all
+    head = (begins << (U(32) - bits)) | (U(0x20202020) & (low >> bits))
+    ends = np.where(size < HEAD, begins, eight[np.maximum(tok.end - HEAD, 0)].astype(U) >> U(32))  # the last four, or all
+    later = np.ones(len(size), bool)
+    later[tok.first[:-1][np.diff(tok.first) > 0]] = False
+    short = np.flatnonzero((size < HEAD) & later)  # the space before them, and what is before that
+    gap = U(SPACE) << bits[short]
+    ends[short] |= gap
+    ends[short] |= (ends[short - 1] << (bits[short] + U(8))) & low
+    before = np.zeros(len(size) + n, U)
+    before[1 : len(size)] = ends[:-1]
+    before[: len(size)][~later] = 0
+    some = np.flatnonzero(np.diff(tok.first) > 0)
+    before[len(size) + some] = ends[tok.first[1:][some] - 1]
+    return before << U(32) | np.concatenate([head, np.full(n, 0x20202020, U)])
+
+
+def _slice(t: pa.Table, g: int, bounds: tuple[np.ndarray, np.ndarray]) -> list[tuple]:
+    """The slice's texts, as one row, and its words and heads with their counts in training for each bucket."""
+    own = Slice(t["text"], bounds)
     held = t["held_out"].to_numpy(zero_copy_only=False).astype(bool)
-    h = np.concatenate([hash_slices(tok.buf, tok.start, tok.end), hash_slices(tok.buf[:0], np.zeros(n, np.int64), np.zeros(n, np.int64))])
-    doc = np.concatenate([tok.doc, np.arange(n)])
-    start = np.concatenate([tok.start, np.zeros(n, np.int64)])
-    end = np.concatenate([tok.end, np.zeros(n, np.int64)])
-    words, first, code = np.unique(h, return_index=True, return_inverse=True)
-    count = np.bincount(code, weights=~held[doc], minlength=len(words)).astype(np.int64)
-    key = np.sort(doc * len(words) + code)
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    times = np.diff(np.concatenate([new, [len(key)]]))
-    d, w = key[new] // len(words), key[new] % len(words)
-    gap = w.copy()
-    gap[1:] -= np.where(d[1:] == d[:-1], w[:-1], 0)
+    learnt = ~held[own.doc]
     ids = t["doc_id"].combine_chunks()
-    body = _zip(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), np.asarray(ids.is_null()).tobytes(), held.tobytes(), np.bincount(d, minlength=n).astype("<i8").tobytes(), x.planes(gap.astype(U)), x.planes(times.astype(U)), (np.diff(tok.first) + 1).astype("<i8").tobytes(), np.bincount(doc, weights=end - start + 1, minlength=n).astype("<i8").tobytes())
-    out = [(-1, g, n, body)]
-    size = (end - start)[first]
-    cuts = np.searchsorted(words, bounds[1:-1])
-    for k, (lo, hi) in enumerate(zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(words)]]), strict=True)):
+    raw, off = column_bytes(t["text"])
+    body = _zip(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), np.asarray(ids.is_null()).tobytes(), held.tobytes(), off.astype("<i8").tobytes(), raw.tobytes())
+    out = [(-1, g, t.num_rows, body)]
+    start, end = own.start[own.sample], own.end[own.sample]
+    count = np.bincount(own.word, weights=learnt, minlength=len(own.words)).astype(U)
+    for k, (lo, hi) in enumerate(zip(own.word_cuts[:-1], own.word_cuts[1:], strict=True)):
         if hi > lo:
-            raw, _ = take_bytes(tok.buf, start[first[lo:hi]], end[first[lo:hi]], None)
-            out.append((k, g, int(hi - lo), _zip(x.pack_sorted(words[lo:hi] - bounds[k]), x.planes(count[lo:hi].astype(U)), x.planes(size[lo:hi].astype(U)), raw.tobytes())))
+            raw, _ = take_bytes(own.buf, start[lo:hi], end[lo:hi], None)
+            out.append((k, g, int(hi - lo), _zip(x.pack_sorted(own.words[lo:hi] - bounds[0][k]), x.planes(count[lo:hi]), x.planes((end - start)[lo:hi].astype(U)), raw.tobytes())))
+    count = np.bincount(own.head, weights=learnt, minlength=len(own.heads)).astype(U)
+    for k, (lo, hi) in enumerate(zip(own.head_cuts[:-1], own.head_cuts[1:], strict=True), len(bounds[0]) - 1):
+        if hi > lo:
+            out.append((k, g, int(hi - lo), _zip(x.pack_sorted(own.heads[lo:hi]), x.planes(count[lo:hi]))))
     return out
 
 
@@ -262,8 +367,13 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table({"bucket": pa.array(b, pa.int32()), "g": pa.array(g, pa.int64()), "n": pa.array(n, pa.int64()), "payload": pa.array(p, pa.binary())})
 
 
+def _bounds(buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the buckets of words, and of the heads' (twice as many, numbered after them)."""
+    return x.bucket_bounds(buckets, 64), x.bucket_bounds(2 * buckets, 64)
+
+
 def _slicer(buckets: int, slice_bytes: int):
-    bounds = x.bucket_bounds(buckets, 64)
+    bounds = _bounds(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -290,28 +400,34 @@ def _slicer(buckets: int, slice_bytes: int):
 
 
 # --- buckets ---
-def _merge(table: pa.Table) -> pa.Table:
-    """One row for the bucket: its distinct words with counts, and where each slice's words are among them; and rows of context counts."""
-    k, gs, ns = table["bucket"][0].as_py(), table["g"].to_numpy(), table["n"].to_numpy()
-    hs, cs, sizes, raws = [], [], [], []
-    for n, p in zip(ns.tolist(), table["payload"], strict=True):
-        a, b, c, d = _unzip(p.as_py())
-        hs.append(x.unpack_sorted(a, n)[0])
-        cs.append(x.unplanes(b, n)[0])
-        sizes.append(x.unplanes(c, n)[0].astype(np.int64))
-        raws.append(np.frombuffer(d, np.uint8))
-    h, c, size, raw = np.concatenate(hs), np.concatenate(cs), np.concatenate(sizes), np.concatenate(raws)
-    begin = np.concatenate([[0], np.cumsum(size)])
-    words, first, code = np.unique(h, return_index=True, return_inverse=True)
-    count = np.bincount(code, weights=c, minlength=len(words)).astype(np.int64)
-    buf, at = take_bytes(raw, begin[first], begin[first + 1], None)
-    cuts = np.concatenate([[0], np.cumsum(ns)])
-    maps = [x.pack_sorted(code[a:b].astype(U)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    body = _zip(x.planes(count.astype(U)), x.planes(np.diff(at).astype(U)), buf.tobytes(), gs.astype("<i8").tobytes(), ns.astype("<i8").tobytes(), np.array([len(m) for m in maps], np.int64).tobytes(), b"".join(maps))
-    rows = [(-1, k, len(words), body)]
-    counts = count_contexts(Types(buf, at), count)
-    rows += _segments(np.concatenate([counts.reshape(-1), [count.sum(), (count > 0).sum()]]), k)
-    return _table(rows)
+def _merger(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One row for the bucket: its distinct words or heads with counts, and where each slice's are among them; and rows of context counts."""
+        k, gs, ns = table["bucket"][0].as_py(), table["g"].to_numpy(), table["n"].to_numpy()
+        hs, cs, sizes, raws = [], [], [], []
+        for n, p in zip(ns.tolist(), table["payload"], strict=True):
+            a, b, *of_words = _unzip(p.as_py())
+            hs.append(x.unpack_sorted(a, n)[0])
+            cs.append(x.unplanes(b, n)[0])
+            if of_words:
+                sizes.append(x.unplanes(of_words[0], n)[0].astype(np.int64))
+                raws.append(np.frombuffer(of_words[1], np.uint8))
+        things, code, first = _distinct(np.concatenate(hs))
+        count = np.bincount(code, weights=np.concatenate(cs), minlength=len(things)).astype(np.int64)
+        if k < buckets:
+            raw, begin = np.concatenate(raws), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            types = Types(*take_bytes(raw, begin[first], begin[first + 1], None), HEAD)
+            what = x.planes(types.size.astype(U)), types.buf.tobytes()
+        else:
+            types = Heads(things)
+            what = x.pack_sorted(things), b""
+        cuts = np.concatenate([[0], np.cumsum(ns)])
+        maps = [x.pack_sorted(code[a:b].astype(U)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        body = _zip(x.planes(count.astype(U)), *what, gs.astype("<i8").tobytes(), ns.astype("<i8").tobytes(), np.array([len(m) for m in maps], np.int64).tobytes(), b"".join(maps))
+        counts = count_contexts(types, count)
+        return _table([(-1, k, len(things), body), *_segments(np.concatenate([counts.reshape(-1), [count.sum(), (count > 0).sum()]]), k)])
+
+    return run
 
 
 def _segments(values: np.ndarray, g: int) -> list[tuple]:
@@ -347,71 +463,105 @@ def _summed(rows: DataFrame, senders: int, length: int) -> np.ndarray:
     return out
 
 
-def _opened(payload: bytes, n: int) -> tuple[Types, np.ndarray, np.ndarray, np.ndarray, list[memoryview]]:
+def _opened(payload: bytes, n: int, heads: bool) -> tuple[Types | Heads, np.ndarray, np.ndarray, np.ndarray, list[memoryview]]:
     a, b, c, d, e, f, m = _unzip(payload)
-    count, size = x.unplanes(a, n)[0].astype(np.int64), x.unplanes(b, n)[0].astype(np.int64)
+    count = x.unplanes(a, n)[0].astype(np.int64)
+    types = Heads(x.unpack_sorted(b, n)[0]) if heads else Types(np.frombuffer(c, np.uint8), np.concatenate([[0], np.cumsum(x.unplanes(b, n)[0].astype(np.int64))]), HEAD)
     ends = np.cumsum(np.frombuffer(f, np.int64))
     maps = [m[end - k : end] for end, k in zip(ends.tolist(), np.frombuffer(f, np.int64).tolist(), strict=True)]
-    return Types(np.frombuffer(c, np.uint8), np.concatenate([[0], np.cumsum(size)])), count, np.frombuffer(d, "<i8"), np.frombuffer(e, "<i8"), maps
+    return types, count, np.frombuffer(d, "<i8"), np.frombuffer(e, "<i8"), maps
 
 
-def _learner(held, total: float):
+def _learner(held, heads: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                types, count, *_ = _opened(r["payload"], r["n"])
+                types, count, *_ = _opened(r["payload"], r["n"], heads)
                 m = Mixer()
-                gains = m.learn(held.value, types, count, total)
-                mass = float(count.sum())
-                yield from _table(_segments(np.concatenate([(m.weight * mass).reshape(-1), m.seen.reshape(-1), gains, [mass]]), r["g"])).to_batches()
+                m.learn(held.value, types, count)
+                mass = float(count.sum() if heads else count[types.size >= HEAD].sum())
+                yield from _table(_segments(np.concatenate([(m.weight * mass).reshape(-1), m.seen.reshape(-1), [mass]]), r["g"])).to_batches()
 
     return run
 
 
-def _answerer(held, total: float):
+def _learnt(words: DataFrame, held, heads: bool, senders: int) -> Mixer:
+    """The buckets' mixers in one: weights in proportion to the tokens."""
+    mixer = Mixer()
+    got = _summed(words.mapInArrow(_learner(held, heads), ROWS), senders, mixer.weight.size + mixer.seen.size + 1)
+    if got[-1]:
+        mixer.weight = got[: mixer.weight.size].reshape(mixer.weight.shape) / got[-1]
+        mixer.seen = got[mixer.weight.size : -1].reshape(mixer.seen.shape)
+    return mixer
+
+
+LEFT = 32  # steps of the left-out scores in one of log10
+
+
+def _answerer(held, mixer: Mixer, heads: bool):
+    """To each slice: counts and scores of its words (or heads), and how much less they are where a token is left out (in steps; only the share is chosen by it)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, mixer = held.value
         for b in batches:
             for r in b.to_pylist():
-                types, count, gs, ns, maps = _opened(r["payload"], r["n"])
-                score = mixer.score(table, types, count, total).astype("<f4")
+                types, count, gs, ns, maps = _opened(r["payload"], r["n"], heads)
+                left = np.zeros(len(count))
+                score = mixer.score(held.value, types, count, 0.0, left)
+                less = np.where(count > 0, score - left, 0)
+                less = np.clip(np.rint(less * LEFT), 0, 255).astype(U)
+                score = score.astype("<f4").view("<u4").astype(U)
                 for g, n, m in zip(gs.tolist(), ns.tolist(), maps, strict=True):
                     at = x.unpack_sorted(m, n)[0].astype(np.int64)
-                    yield from _table([(r["g"], g, n, _zip(x.planes(count[at].astype(U)), score[at].tobytes()))]).to_batches()
+                    yield from _table([(r["g"], g, n, _zip(x.planes(score[at]), x.planes(less[at]), *([] if heads else [x.planes(count[at].astype(U))])))]).to_batches()
 
     return run
 
 
-def _scorer(total: int, kinds: int):
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, coded long, scores array<double>, gains array<double>"
+
+
+def _scorer(total: int, kinds: int, buckets: int):
+    """Rows with a score for each of SHARES; a slice's first row has the log-likelihoods of its left-out training tokens."""
+    bounds = _bounds(buckets)
+
+    def numbers(parts: list[list[memoryview]], sizes: list[int], k: int) -> np.ndarray:
+        return np.concatenate([x.unplanes(p[k], n)[0] for p, n in zip(parts, sizes, strict=True)])
+
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte")}
-        if docs.num_rows:
-            parts = sorted(zip(answers["bucket"].to_pylist(), answers["n"].to_pylist(), answers["payload"], strict=True), key=lambda r: r[0])
-            cs, ss = [], []
-            for _, n, p in parts:
-                a, b = _unzip(p.as_py())
-                cs.append(x.unplanes(a, n)[0].astype(np.int64))
-                ss.append(np.frombuffer(b, "<f4").astype(float))
-            count, score = np.concatenate(cs), np.concatenate(ss)
-            base = np.log10((count + 1) / (total + kinds + 1))
-            for n, p in zip(docs["n"].to_pylist(), docs["payload"], strict=True):
-                ids, null, held, each, gap, times, tokens, coded = _unzip(p.as_py())
-                per = np.frombuffer(each, "<i8")
-                m = int(per.sum())
-                begin = np.cumsum(per) - per
-                g = np.cumsum(x.unplanes(gap, m)[0].astype(np.int64))
-                word = g - np.repeat(np.where(begin > 0, g[begin - 1], 0), per)
-                t = x.unplanes(times, m)[0].astype(np.int64)
-                out["doc_id"].append(pa.array(np.frombuffer(ids, "<i8"), mask=np.frombuffer(null, bool)))
-                out["held_out"].append(np.frombuffer(held, bool))
-                out["n_tokens"].append(np.frombuffer(tokens, "<i8"))
-                out["n_known"].append(np.add.reduceat(t * (count[word] > 0), begin))
-                out["base_score"].append(np.add.reduceat(t * base[word], begin))
-                out["score"].append(np.add.reduceat(t * score[word], begin))
-                out["bits_per_byte"].append(-out["score"][-1] / np.log10(2) / np.frombuffer(coded, "<i8"))
-        types = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "bits_per_byte": pa.float64()}
-        cols = {c: pa.concat_arrays([v if isinstance(v, pa.Array) else pa.array(v, types[c]) for v in out[c]]) if out[c] else pa.array([], types[c]) for c in out}
-        return pa.table({**cols, "train_tokens": pa.array(np.full(len(cols["doc_id"]), total), pa.int64())})
+        out = []
+        rows = sorted(zip(answers["bucket"].to_pylist(), answers["n"].to_pylist(), answers["payload"], strict=True), key=lambda r: r[0])
+        for n, p in zip(docs["n"].to_pylist(), docs["payload"], strict=True):
+            ids, null, held, off, raw = _unzip(p.as_py())
+            own = Slice(pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(off), pa.py_buffer(raw)]), bounds)
+            held = np.frombuffer(held, bool)
+            score, less, count = np.zeros(len(own.doc)), np.zeros(len(own.doc)), None
+            for heads, token in ((False, own.word), (True, own.head)):
+                mine = [(m, _unzip(a.as_py())) for k, m, a in rows if (k >= buckets) == heads]
+                sizes, parts = [m for m, _ in mine], [a for _, a in mine]
+                score += numbers(parts, sizes, 0).astype("<u4").view("<f4").astype(float)[token]
+                less += numbers(parts, sizes, 1)[token] / LEFT
+                if not heads:
+                    count = numbers(parts, sizes, 2).astype(np.int64)[token]
+            add = lambda v: np.bincount(own.doc, weights=v, minlength=n)
+            learnt = ~held[own.doc]
+            left, others = 10 ** (score - less)[learnt], (count[learnt] - 1) / max(total - 1, 1)
+            scores, gains = np.zeros((n, len(SHARES))), np.zeros(len(SHARES))
+            for i, s in enumerate(SHARES):
+                scores[:, i] = add(interpolated(score, count / max(total, 1), s))
+                gains[i] = np.log(np.maximum((1 - s) * left + s * others, 1e-280)).sum()
+            out.append({
+                "doc_id": pa.array(np.frombuffer(ids, "<i8"), mask=np.frombuffer(null, bool)),
+                "held_out": pa.array(held),
+                "n_tokens": pa.array(own.tokens),
+                "n_known": pa.array(add(count > 0).astype(np.int64)),
+                "train_tokens": pa.array(np.full(n, total)),
+                "base_score": pa.array(add(np.log10((count + 1) / (total + kinds + 1)))),
+                "coded": pa.array(own.coded),
+                "scores": pa.array(list(scores), pa.list_(pa.float64())),
+                "gains": pa.array([gains, *[None] * (n - 1)], pa.list_(pa.float64())),
+            })
+        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("coded", pa.int64()), ("scores", pa.list_(pa.float64())), ("gains", pa.list_(pa.float64()))])
+        return pa.concat_tables([pa.table(t, schema) for t in out]) if out else schema.empty_table()
 
     return run
 
@@ -423,23 +573,22 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_fold, F.lit(False))).withColumn("part", F.spark_partition_id())
     layout = x.plan(own, "text", bucket_hashes=bucket_hashes, bytes_a_hash=45.0)
-    sliced = cut(own.mapInArrow(_slicer(layout.buckets, slice_bytes), ROWS))
-    merged = cut(sliced.where("bucket >= 0").groupBy("bucket").applyInArrow(_merge, ROWS))
-    words = merged.where("bucket < 0")
-    length = 2 * int(BASES[-1])
-    sums = _summed(merged.where("bucket >= 0"), layout.buckets, length + 2)
-    total, kinds = round(sums[-2]), round(sums[-1])
-    table = sums[:-2].reshape(2, -1).astype(np.float32)
-    held = spark.sparkContext.broadcast(table)
-    mixer = Mixer()
-    if total:
-        size = GATES * INPUTS + mixer.seen.size + len(SHARES) + 1
-        learnt = _summed(words.mapInArrow(_learner(held, total), ROWS), layout.buckets, size)
-        mass = max(learnt[-1], 1.0)
-        mixer.weight = learnt[: GATES * INPUTS].reshape(GATES, INPUTS) / mass
-        mixer.seen = learnt[GATES * INPUTS : GATES * INPUTS + mixer.seen.size].reshape(mixer.seen.shape)
-        mixer.share = float(SHARES[int(np.argmax(learnt[-1 - len(SHARES) : -1]))])
-    model = spark.sparkContext.broadcast((table, mixer))
-    answers = words.mapInArrow(_answerer(model, total), ROWS)
-    scored = sliced.where("bucket < 0").groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_scorer(total, kinds), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, train_tokens long")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    buckets = layout.buckets
+    sliced = cut(own.mapInArrow(_slicer(buckets, slice_bytes), ROWS))
+    merged = cut(sliced.where("bucket >= 0").groupBy("bucket").applyInArrow(_merger(buckets), ROWS))
+    total = kinds = 0
+    answers = []
+    for heads in (False, True):
+        mine, senders = merged.where(f"g >= {buckets}" if heads else f"g < {buckets}"), buckets * (1 + heads)
+        counts = mine.where("bucket >= 0").withColumn("g", F.col("g") - heads * buckets)
+        sums = _summed(counts, senders, 2 * int(BASES[-1]) + 2)
+        if not heads:
+            total, kinds = round(sums[-2]), round(sums[-1])
+        held = spark.sparkContext.broadcast(sums[:-2].reshape(2, -1).astype(np.float32))
+        words = mine.where("bucket < 0")
+        mixer = _learnt(words.withColumn("g", F.col("g") - heads * buckets), held, heads, senders) if total else Mixer()
+        answers.append(words.mapInArrow(_answerer(held, mixer, heads), ROWS))
+    scored = cut(sliced.where("bucket < 0").groupBy("g").cogroup(answers[0].union(answers[1]).groupBy("g")).applyInArrow(_scorer(total, kinds, buckets), SCORED))
+    gains = scored.agg(*[F.sum(F.col("gains")[i]) for i in range(len(SHARES))]).first()
+    score = F.col("scores")[max(range(len(SHARES)), key=lambda i: gains[i] or 0.0)]
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", score.alias("score"), (-score / float(np.log10(2)) / F.col("coded")).alias("bits_per_byte"))

@@ -388,3 +388,50 @@ def test_scores_of_words_against_a_scalar_version():
             q = 0.5 * one + 0.5 * refined[node, min(max(round(z * 2) + 16, 0), 32)]
             p *= q if bit else 1 - q
         assert abs(got[i] - math.log10(0.5 * p + 0.5 * count[i] / count.sum())) < 1e-3
+
+
+def test_score_depends_on_the_words_before(spark):
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, "aaaa x1 bbbb y2 " * 3) for i in range(400) if i not in held]
+    rows += [(held[0], "aaaa x1 bbbb y2"), (held[1], "aaaa y2 bbbb x1"), (held[2], "y2 bbbb x1 aaaa")]
+    got = {r.doc_id: r for r in lm_score.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen, swapped, turned = (got[i] for i in held[:3])
+    assert abs(seen.base_score - swapped.base_score) < 1e-9 and abs(seen.base_score - turned.base_score) < 1e-9
+    assert seen.score > swapped.score + 0.5 and seen.score > turned.score + 0.5
+    assert seen.bits_per_byte < swapped.bits_per_byte
+
+
+def test_contexts_against_a_walk_along_the_text():
+    """Counts of the heads' and the rests' contexts, bit by bit along whole texts."""
+    mask = (1 << 64) - 1
+    texts = ["The cat sat on a mat", "", "été a longer-than-eight-bytes b ab", "a", "a the  cat", None, "on a longer mat"]
+    own = lm_score.Slice(pa.array(texts), lm_score._bounds(3))
+    start, end = own.start[own.sample], own.end[own.sample]
+    words = b"".join(own.buf[a:b].tobytes() for a, b in zip(start, end, strict=True))
+    rests = lm_score.Types(np.frombuffer(words, np.uint8), np.concatenate([[0], np.cumsum(end - start)]), lm_score.HEAD)
+    tables = lm_score.count_contexts(lm_score.Heads(own.heads), np.bincount(own.head)), lm_score.count_contexts(rests, np.bincount(own.word))
+    seen = collections.Counter()
+    for text in texts:
+        coded = b""
+        for word in [*(text or "").lower().encode().split(), b""]:
+            before, whole = (b"\0" * 5 + coded)[-5:] if coded else b"\0\0\0\0 ", 99
+            for place, byte in enumerate(word + b" "):
+                data = (before if place < lm_score.HEAD else b"") + word[:place]
+                h, ctx = (77 + (min(place, 8) << 20)) & mask, []
+                for k in range(5):
+                    if k < len(data):
+                        h = (h + data[-1 - k] + 1) * 0x9E3779B97F4A7C15 & mask
+                        h ^= h >> 29
+                    if k + 1 in lm_score.ORDERS:
+                        ctx.append(h)
+                node = 1
+                for k in range(7, -1, -1):
+                    bit, key = byte >> k & 1, node * 0xD6E8FEB86659FD93 & mask
+                    for t, (c, b) in enumerate(zip([*ctx, whole], lm_score.BITS, strict=True)):
+                        seen[place >= lm_score.HEAD, t, ((c ^ key) * 0xC2B2AE3D27D4EB4F & mask) >> (64 - b), bit] += 1
+                    node = node * 2 + bit
+                whole = (whole + byte + 1) * 0x9E3779B97F4A7C15 & mask
+                whole ^= whole >> 29
+            coded += word + b" "
+    assert {k: v for k, v in seen.items()} == {(r, t, s, b): tables[r][b, lm_score.BASES[t] + s] for r, t, s, b in seen}
+    assert sum(t.sum() for t in tables) == sum(seen.values())
