@@ -106,7 +106,7 @@ def wrapped_excerpts(s, d):
 
 def repeated_run(s, d):
     """Rows that two runs of one search do not share: none."""
-    diff = search.determinism(reg._sparse(s, d).select("query_id", "rank", "doc_id"), reg._sparse(s, d).select("query_id", "rank", "doc_id"))
+    diff = search.determinism(*[reg._sparse(s, d).select("query_id", "rank", "doc_id") for _ in range(2)])
     return diff.agg(F.count(F.lit(1)).alias("unstable"))
 
 
@@ -158,8 +158,7 @@ def known_item_verdict(s, d):
     """Known-item recall of every document whose id is divisible by 50 over all documents, and over those and conversations."""
     asked = reg._docs(s, d).where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(tx.tokens(F.col("text")), 1, 7), " ").alias("text"))
     more = reg._docs(s, d).select("doc_id", "text").unionByName(reg.table(s, d, "conversations").select((-F.col("conv_id") * 1000 - F.col("turn") - 1).alias("doc_id"), "text"))
-    base = metrics.known_item(asked, reg._sparse(s, d, 5, asked))
-    other = metrics.known_item(asked, retrieval.bm25_topk(asked, retrieval.postings(more), more.count(), 5))
+    base, other = (metrics.known_item(asked, retrieval.known_item_topk(asked, index, 5)) for index in (reg._index(s, d), retrieval.Texts.of(more)))
     return metrics.known_item_verdict(base, other).select(*[_r(c) for c in ("base_recall_1", "base_recall_5", "other_recall_1", "other_recall_5", "delta_1", "delta_5")], "verdict")
 
 

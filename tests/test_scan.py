@@ -74,3 +74,14 @@ def test_term_statistics_write_no_postings(spark, sf, tmp_path):
     before, text = size(), spark.read.parquet(f"{sf}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
     registry.bm25_term_stats(spark, sf).collect()
     assert size() - before < text
+
+
+def test_known_items_are_found_at_the_places_of_the_whole_list(spark, sf):
+    docs = many(spark, sf, 3)
+    asked = docs.where("doc_id % 9 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
+    index = retrieval.Texts.of(docs)
+    own = lambda df: sorted((r.query_id, r["rank"]) for r in df.where("query_id = doc_id").collect())
+    hits = retrieval.known_item_topk(asked, index, 5)
+    assert own(hits) == own(retrieval.bm25_topk(asked, index, k=5)) and len(own(hits)) > 30
+    lower = hits.join(hits.where("query_id = doc_id").select("query_id", F.col("score").alias("own")), "query_id").where("score < own - 1e-8")
+    assert lower.isEmpty()  # what scores less than the item itself is not moved
