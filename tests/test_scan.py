@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -85,3 +86,17 @@ def test_known_items_are_found_at_the_places_of_the_whole_list(spark, sf):
     assert own(hits) == own(retrieval.bm25_topk(asked, index, k=5)) and len(own(hits)) > 30
     lower = hits.join(hits.where("query_id = doc_id").select("query_id", F.col("score").alias("own")), "query_id").where("score < own - 1e-8")
     assert lower.isEmpty()  # what scores less than the item itself is not moved
+
+
+def test_dense_scores_are_held_in_blocks_of_a_bounded_size():
+    rng = np.random.default_rng(1)
+    q, v = rng.standard_normal((2000, 16)), rng.standard_normal((9000, 16))
+    asked = pa.table({"query_id": pa.array(range(2000)), "vector": pa.array(list(q), pa.list_(pa.float64()))})
+    rows = pa.record_batch({"vec_id": pa.array(range(9000)), "vector": pa.array(list(v), pa.list_(pa.float64()))})
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(retrieval.nearest(asked, iter([rows]), 4, pa.int64())))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * 8 * retrieval.CELLS  # eight arrays of a block
+    want = np.argsort(-(q[:50] @ v.T), axis=1)[:, :4]
+    assert np.array_equal(got["vec_id"].to_numpy().reshape(2000, 4)[:50], want)
