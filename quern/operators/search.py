@@ -109,12 +109,13 @@ def containing(docs: DataFrame, needles: DataFrame, id_col: str = "doc_id", text
     inner = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != "")
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     asked = needles.where("needle <> ''").select("query_id", "needle", longest.alias("anchor"))
-    anchored = asked.where("anchor IS NOT NULL")
-    words = own.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("anchor"))
-    met = r.cut(words.join(r.small(anchored.select("query_id", "anchor")), "anchor").select("query_id", "doc_id").distinct())
-    found = own.join(r.small(met), "doc_id").join(r.small(anchored.drop("anchor")), "query_id")
-    short = asked.where("anchor IS NULL").drop("anchor")
-    every = found.select("query_id", "needle", "doc_id", "text").where(F.contains("text", "needle"))
+    anchored, short = asked.where("anchor IS NOT NULL"), asked.where("anchor IS NULL").drop("anchor")
+    words = F.explode(F.array_distinct(F.split("text", " "))).alias("anchor")
+    if anchored.limit(r.MOST_BROADCAST + 1).count() <= r.MOST_BROADCAST:  # a text stays where it is
+        every = own.select("doc_id", "text", words).join(F.broadcast(anchored), "anchor").where(F.contains("text", "needle")).select("query_id", "needle", "doc_id", "text")
+    else:
+        met = r.cut(own.select("doc_id", words).join(anchored.select("query_id", "anchor"), "anchor").select("query_id", "doc_id").distinct())
+        every = own.join(r.small(met), "doc_id").join(anchored.drop("anchor"), "query_id").select("query_id", "needle", "doc_id", "text").where(F.contains("text", "needle"))
     if short.isEmpty():
         return every
     return every.union(own.join(r.small(short), F.contains(F.col("text"), F.col("needle"))).select("query_id", "needle", "doc_id", "text"))

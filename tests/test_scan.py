@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import retrieval
+from quern.operators import retrieval, search
 from quern.plans import registry
 
 
@@ -100,3 +100,18 @@ def test_dense_scores_are_held_in_blocks_of_a_bounded_size():
     assert peak < 8 * 8 * retrieval.CELLS  # eight arrays of a block
     want = np.argsort(-(q[:50] @ v.T), axis=1)[:, :4]
     assert np.array_equal(got["vec_id"].to_numpy().reshape(2000, 4)[:50], want)
+
+
+def test_a_text_is_not_moved_to_be_searched(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    asked = spark.createDataFrame([(1, "of this is said"), (2, "re the and in")], "query_id long, needle string")
+    assert "Exchange hash" not in search.containing(docs, asked)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hits_go_to_the_texts(spark, sf):
+    """A ranked list is sent to the documents; they are not dealt out by id."""
+    from quern.plans import more
+
+    for q in (registry.context_block, more.hydrated_hits, registry.reranked):
+        plan = q(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan, q.__name__
