@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,12 +90,34 @@ def cases(spark: SparkSession, path: str, tag: str | None = None) -> tuple[DataF
 SPAN = "doc_id string, page int, block_no int, line_no int, span_no int, text string, size double, bold boolean"
 
 
+_LINE = ["doc_id", "page", "block_no", "line_no"]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring spans of one line, in ascending order, as one row: the size and weight of the first, numbers and texts of all."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        after, before = b.slice(1), b.slice(0, b.num_rows - 1)
+        new = pc.fill_null(pc.less_equal(after["span_no"], before["span_no"]), True)
+        for c in _LINE:
+            new = pc.or_(new, pc.fill_null(pc.not_equal(after[c], before[c]), True))
+        start = np.concatenate([[0], np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1])
+        ends = pa.array(np.append(start, b.num_rows), pa.int32())
+        first = b.select([*_LINE, "size", "bold"]).take(pa.array(start))
+        yield pa.RecordBatch.from_arrays([*first.columns, *(pa.ListArray.from_arrays(ends, b[c]) for c in ("span_no", "text"))], [*first.schema.names, "span_no", "text"])
+
+
 def lines(spans: DataFrame) -> DataFrame:
     """(doc_id, line_no, text, size, bold) of spans(doc_id, page, block_no, line_no, span_no, text, size, bold), as a PDF
     reader gives them: texts joined in order, size and weight of the first span, empty lines out, numbered through the document."""
-    own = ["doc_id", "page", "block_no", "line_no"]
-    parts = F.array_sort(F.collect_list(F.struct("span_no", "text", "size", "bold")))
-    joined = spans.groupBy(*own).agg(parts.alias("s")).select(*own, F.trim(F.array_join(F.transform("s", lambda x: x["text"]), "")).alias("text"), F.col("s")[0]["size"].alias("size"), F.col("s")[0]["bold"].alias("bold"))
+    kind = spans.schema
+    piece = T.StructType([*(kind[c] for c in (*_LINE, "size", "bold")), T.StructField("span_no", T.ArrayType(kind["span_no"].dataType)), T.StructField("text", T.ArrayType(T.StringType()))])
+    met = spans.select(*_LINE, "span_no", "text", "size", "bold").mapInArrow(_pieces, T.StructType([T.StructField(f.name, f.dataType) for f in piece])).repartition("doc_id")  # for both steps
+    first = F.struct(F.col("span_no")[0], F.col("text")[0], "size", "bold")
+    parts = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("span_no", "text"))))
+    grouped = met.groupBy(*_LINE).agg(F.min_by("size", first).alias("size"), F.min_by("bold", first).alias("bold"), parts.alias("s"))
+    joined = grouped.select(*_LINE, F.trim(F.array_join(F.transform("s", lambda x: x["text"]), "")).alias("text"), "size", "bold")
     order = Window.partitionBy("doc_id").orderBy("page", "block_no", "line_no")
     return joined.where("text <> ''").select("doc_id", (F.row_number().over(order) - 1).alias("n"), "text", "size", "bold").withColumnRenamed("n", "line_no")
 

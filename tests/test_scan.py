@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import retrieval, search
 from quern.plans import registry
+from quern.sources import corpora
 
 
 def many(spark, sf, times=12):
@@ -115,3 +116,13 @@ def test_hits_go_to_the_texts(spark, sf):
     for q in (registry.context_block, more.hydrated_hits, registry.reranked):
         plan = q(spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan, q.__name__
+
+
+def test_lines_are_dealt_out_once(spark):
+    """Spans in any order, repeated numbers, nulls; all in one exchange."""
+    rows = [("d", 0, 0, 0, k, f"w{k} ", 9.0 + k, k % 2 == 0) for k in (2, 0, 1)] + [("d", 0, 0, 1, None, "n ", 1.0, None), ("d", 0, 0, 1, 0, "m", None, True), ("d", 0, 0, 3, 0, " ", 1.0, True)]
+    rows += [("e", 1, 2, 0, 0, "b ", 2.0, True), ("e", 1, 2, 0, 0, "a ", 3.0, False), ("e", 0, 5, 9, 7, "first", 4.0, True), ("d", 0, 0, 0, 3, "w3", 0.0, True)]
+    out = corpora.lines(spark.createDataFrame(rows, corpora.SPAN).coalesce(1))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    got = sorted(map(tuple, out.collect()))
+    assert got == [("d", 0, "w0 w1 w2 w3", 9.0, True), ("d", 1, "n m", 1.0, None), ("e", 0, "first", 4.0, True), ("e", 1, "a b", 3.0, False)]
